@@ -5,7 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspan.common import table
-from quillspan.llm import repetition
+from quillspan.llm import cutting, overlap, repetition
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting.axis_fits(table(spark, sf_dir, "tiled_sheets"))
+
+
+def p2_axis_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting.axis_pieces(table(spark, sf_dir, "tiled_sheets"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cutting.sheet_pieces(table(spark, sf_dir, "tiled_sheets"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pairs(spark, sf_dir).select("file_a", "file_b")
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.file_pairs(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "plan_sets"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.report(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "plan_sets"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,9 +40,57 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_axis_pieces": p2_axis_pieces,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p3_report": p3_report,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+}
+
+_P3 = r"""
+    WITH f AS (
+      SELECT DISTINCT file_id, ref_id, filename, sha256,
+        CASE WHEN s IN ('train', 'training', 'trn') THEN 'train' WHEN s IN ('val', 'valid', 'validation', 'dev', 'test', 'testing', 'tst') THEN 'eval' END AS side
+      FROM (SELECT *, regexp_replace(lower(split_name), '[\s_\-]+', '', 'g') AS s FROM source_files)),
+    hashes AS (SELECT file_id, side, regexp_extract(lower(sha256), '([0-9a-f]{64})\s*$', 1) AS k FROM f WHERE side IS NOT NULL),
+    urls AS (
+      SELECT DISTINCT file_id, side, regexp_replace(lower(regexp_extract(url, '(?i)^[a-z]+://([^/:?#]*)', 1)), '^www\.', '') || ' ' ||
+        regexp_replace(url_decode(regexp_extract(url, '(?i)^[a-z]+://[^/?#]*([^?#]*)', 1)), '/+$', '') || ' ' || regexp_extract(url, '[?&]id=([^&#]*)', 1) AS k
+      FROM f JOIN plan_sets USING (ref_id) WHERE url IS NOT NULL AND side IS NOT NULL),
+    stems AS (
+      SELECT file_id, side, regexp_extract(n, '\.([a-z0-9]{1,5})$', 1) AS ext,
+        regexp_replace(regexp_replace(regexp_replace(n, '\.[a-z0-9]{1,5}$', ''), '^copy[\s_\-]+of[\s_\-]+', ''), '([\s_\-]*\(\d+\)|[\s_\-]+copy|_\d+_)+$', '') AS stem
+      FROM (SELECT *, lower(url_decode(filename)) AS n FROM f WHERE side IS NOT NULL)),
+    coded AS (SELECT *, regexp_extract(stem, '(?:^|[^a-z0-9])([a-z][\s_.\-–]*\d{4}[\s_.\-–]*\d{2})(?:[^0-9]|$)', 1) AS raw FROM stems),
+    names AS (
+      SELECT file_id, side, regexp_replace(raw, '[^a-z0-9]', '', 'g') || '|' || ext || '|' || array_to_string(list_transform(regexp_extract_all(rest, '\d+'), lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',') AS block,
+             regexp_replace(rest, '[^\p{L}]', '', 'g') AS body
+      FROM (SELECT *, replace(stem, raw, ' ') AS rest FROM coded WHERE raw <> '')),
+    pairs AS (
+      SELECT a.file_id AS t, b.file_id AS e FROM hashes a JOIN hashes b USING (k) WHERE a.side = 'train' AND b.side = 'eval' AND k <> '' AND NOT regexp_full_match(k, '0+')
+        AND k <> 'e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855'
+      UNION SELECT a.file_id, b.file_id FROM urls a JOIN urls b USING (k) WHERE a.side = 'train' AND b.side = 'eval'
+      UNION SELECT a.file_id, b.file_id FROM names a JOIN names b USING (block)
+        WHERE a.side = 'train' AND b.side = 'eval' AND damerau_levenshtein(a.body, b.body) <= 1)
+"""
 
 ORACLE = {
+    "p2_found": """
+        WITH axes AS (
+          SELECT tiling_id, 'x' AS axis, full_width AS l, tile_size AS t, coalesce(overlap, 0) AS o, x_breaks AS b FROM tiled_sheets
+          UNION ALL SELECT tiling_id, 'y', full_height, tile_size, coalesce(overlap, 0), y_breaks FROM tiled_sheets),
+        bounds AS (
+          SELECT DISTINCT tiling_id, axis, t - o AS step, list_concat([o], list_sort(list_filter(coalesce(b, []), lambda v: v > o AND v < l)), [l]) AS s
+          FROM axes WHERE l > t AND t > 0 AND o >= 0 AND o < t)
+        SELECT DISTINCT tiling_id, axis,
+          CASE WHEN list_bool_and(list_transform(range(2, len(s) + 1), lambda k: s[k] - s[k - 1] <= step)) THEN 'natural' ELSE 'forced' END AS fit
+        FROM bounds
+    """,
+    "p3_found": _P3 + "SELECT least(t, e) AS file_a, greatest(t, e) AS file_b FROM pairs",
     "p8_found": r"""
         WITH words AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents),
         grams AS (SELECT doc_id, k, w[k:k+5] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS k FROM words)),
