@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspan.common import table
-from quillspan.llm import cutting, overlap, repetition
+from quillspan.common import cut, table
+from quillspan.llm import cutting, mixture, overlap, packing, repetition, splits
+from quillspan.llm.tokens import token_counts
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.related(table(spark, sf_dir, "plan_sets"), table(spark, sf_dir, "plan_pages"))
+
+
+def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = splits.grouped(table(spark, sf_dir, "plan_sets"), table(spark, sf_dir, "plan_pages"))
+    shares = [(r.split_name, r.share) for r in table(spark, sf_dir, "split_shares").collect()]  # one row per split
+    return splits.split(cut(rows), shares)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +44,42 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.report(table(spark, sf_dir, "source_files"), table(spark, sf_dir, "plan_sets"))
 
 
+def _packs(spark: SparkSession, sf_dir: str) -> list[tuple[str, int, int]]:
+    return [(r.pack_name, r.capacity_tokens, r.separator_tokens) for r in table(spark, sf_dir, "pack_sizes").collect()]  # one row per pack
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(token_counts(table(spark, sf_dir, "documents"), {"doc_id": "bigint"}))
+
+
+def p6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_sizes(spark, sf_dir), _packs(spark, sf_dir))[0]
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_report(_sizes(spark, sf_dir), _packs(spark, sf_dir))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float, int]]:
+    rows = table(spark, sf_dir, "mix_targets").select(mixture.canonical(F.col("source")).alias("source"), "target_share", "max_repeats")
+    return [(r.source, r.target_share, r.max_repeats) for r in rows.collect()]  # one row per source
+
+
+def _mixture(spark: SparkSession, sf_dir: str, targets: list[tuple[str, float, int]]) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", mixture.canonical(F.col("source")).alias("source"), "text")
+    docs = docs.where(F.col("source").isin(*[s for s, _, _ in targets]))
+    return mixture.mixture(cut(token_counts(docs, {"doc_id": "bigint", "source": "string"})), targets)
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir, _targets(spark, sf_dir))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _targets(spark, sf_dir)
+    return mixture.shares(_mixture(spark, sf_dir, targets), targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetitive(table(spark, sf_dir, "documents"))
 
@@ -41,12 +89,18 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_splits": p1_splits,
     "p2_found": p2_found,
     "p2_axis_pieces": p2_axis_pieces,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p3_report": p3_report,
+    "p6_pack": p6_pack,
+    "p6_report": p6_report,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
 }
@@ -79,6 +133,20 @@ _P3 = r"""
 """
 
 ORACLE = {
+    "p1_found": r"""
+        WITH RECURSIVE named AS (
+          SELECT DISTINCT ref_id, node FROM (
+            SELECT ref_id, 's:' || s AS node FROM (SELECT ref_id, regexp_replace(lower(source), '[\s_\-]+', '', 'g') AS s FROM plan_sets)
+              WHERE regexp_matches(s, '[a-z0-9]') AND s NOT IN ('unknown', 'n/a', 'na', 'none', 'null', 'notapplicable', 'tbd')
+            UNION ALL SELECT ref_id, 'p:' || upper(substr(c, 1, 5)) || '-' || substr(c, 6) FROM (
+              SELECT ref_id, regexp_replace(unnest(regexp_extract_all(t, '(?:^|[^A-Za-z0-9])([A-Za-z][\s_.\-–]*\d{4}[\s_.\-–]*\d{2})', 1)), '[^A-Za-z0-9]', '', 'g') AS c
+              FROM (SELECT ref_id, project AS t FROM plan_sets UNION ALL SELECT ref_id, sheet_no FROM plan_pages)))),
+        edges AS (SELECT DISTINCT a.node AS a, b.node AS b FROM named a JOIN named b USING (ref_id)),
+        reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a),
+        groups AS (SELECT a AS node, min(b) AS label, min(b) FILTER (b LIKE 'p:%') AS code FROM reach GROUP BY a),
+        refs AS (SELECT DISTINCT ref_id, label, code FROM named JOIN groups USING (node))
+        SELECT ref_id, substr(code, 3) AS group_key FROM (SELECT *, count(*) OVER (PARTITION BY label) AS n FROM refs) WHERE n > 1
+    """,
     "p2_found": """
         WITH axes AS (
           SELECT tiling_id, 'x' AS axis, full_width AS l, tile_size AS t, coalesce(overlap, 0) AS o, x_breaks AS b FROM tiled_sheets
