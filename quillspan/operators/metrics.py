@@ -203,7 +203,8 @@ def _one_way(a: DataFrame, b: DataFrame) -> DataFrame:
     """(doc, mean distance to the nearest point): slices of a document's points against all of the other side's."""
     count = a.groupBy("doc").agg(F.ceil(F.count("*") / _SLICE).cast("int").alias("slices"))
     sliced = a.join(count, "doc").select("doc", F.pmod(F.xxhash64("ord", "k"), F.col("slices")).cast("int").alias("slice"), "x", "y")
-    others = b.join(count, "doc").select("doc", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "x", "y")
+    # Aliased: both sides may be the same frame.
+    others = b.join(count, "doc").select(F.col("doc").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "x", "y")
     parts = sliced.groupBy("doc", "slice").cogroup(others.groupBy("doc", "slice")).applyInPandas(_nearest, "doc string, total double, n long")
     return parts.where("n > 0").groupBy("doc").agg((F.sum("total") / F.sum("n")).alias("d"))
 

@@ -9,6 +9,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from quillspan.functions.text import readable_version
 from quillspan.sources import msgpack
@@ -31,13 +32,13 @@ def _json_text(value: object) -> str:
     return json.dumps(value, ensure_ascii=False)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def from_msgpack(data: pd.Series) -> pd.Series:
     """MessagePack bytes as JSON text; anything but an object is an error."""
     return data.map(lambda b: None if b is None else _json_text(msgpack.unpackb(bytes(b))))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def to_msgpack(text: pd.Series) -> pd.Series:
     """JSON text as MessagePack bytes; anything but an object is an error."""
     return text.map(lambda t: None if t is None else msgpack.packb(json.loads(_json_text(json.loads(t)))))
