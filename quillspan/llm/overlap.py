@@ -83,11 +83,10 @@ def shingles(body: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda k: F.substring(marked, k, F.lit(2))))
 
 
-def _buckets(body: Column) -> Column:
+def _buckets(body: Column, pairs: Column) -> Column:
     """Banded minwise hashes of the shingles; of short bodies, the forms with one letter left out and the body."""
-    pairs = shingles(body)
-    least = lambda k: F.array_min(F.transform(pairs, lambda s: F.xxhash64(s, F.lit(k))))
-    banded = F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+    least = lambda seed: F.array_min(F.transform(pairs, lambda s: F.xxhash64(s, seed)))
+    banded = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[least(b * ROWS + r) for r in range(ROWS)]))
     cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda k: F.concat(F.substring(body, F.lit(1), k - 1), F.substring(body, k + 1, F.length(body))))
     forms = F.transform(F.array_distinct(F.concat(F.array(body), cut)), lambda s: F.xxhash64(s))
     return F.when(F.length(body) < SHORT, forms).when(F.length(body) == SHORT, F.concat(forms, banded)).otherwise(banded)
@@ -109,7 +108,8 @@ def _overlaps(members: DataFrame) -> DataFrame:
     names = items.where("facet = 'name'")
     # Blocks with one name, or names on one side only, have no candidates: they aren't hashed.
     open_blocks = names.groupBy("block").agg(F.count("*").alias("n"), F.max("in_train").alias("t"), F.max("in_eval").alias("e")).where("n > 1 AND t AND e").select("block")
-    banded = names.join(open_blocks, "block", "left_semi").withColumn("bucket", F.explode(_buckets(F.col("body"))))
+    banded = names.join(open_blocks, "block", "left_semi").withColumn("pairs", shingles(F.col("body")))
+    banded = banded.withColumn("bucket", F.explode(_buckets(F.col("body"), F.col("pairs"))))
     left = banded.where("in_train").select("block", "bucket", F.col("body").alias("train_body"))
     right = banded.where("in_eval").select("block", "bucket", F.col("body").alias("eval_body"))
     near = left.join(right, ["block", "bucket"]).where("train_body <> eval_body").select("block", "train_body", "eval_body").distinct()
