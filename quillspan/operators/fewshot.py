@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; written out, it would be computed at each use inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(v: Column) -> Column:
     """A vector of length one; one of zeros stays as it is."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    return let(length, lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,7 +56,10 @@ def classify(queries: DataFrame, protos: DataFrame, *, floor: float = 0.55) -> D
 
 def _nearest(queries: DataFrame, protos: DataFrame) -> DataFrame:
     table = protos.agg(F.array_sort(F.collect_list(F.struct("ord", "label", "prototype"))).alias("protos"))
-    scored = queries.join(F.broadcast(table)).withColumn("q", unit(F.col("vector")))
-    sims = F.transform(F.col("protos"), lambda p: F.struct(dot(F.col("q"), p["prototype"]).alias("s"), p["ord"].cast("long").alias("ord"), p["label"].cast("string").alias("label")))
     none = F.struct(F.lit(-1.0).alias("s"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("label"))
-    return scored.withColumn("b", F.aggregate(sims, none, lambda b, x: F.when(x["s"] > b["s"], x).otherwise(b))).select("vec_id", "b.s", "b.ord", "b.label")
+
+    def nearest(q: Column) -> Column:
+        sims = F.transform(F.col("protos"), lambda p: F.struct(dot(q, p["prototype"]).alias("s"), p["ord"].cast("long").alias("ord"), p["label"].cast("string").alias("label")))
+        return F.aggregate(sims, none, lambda b, x: F.when(x["s"] > b["s"], x).otherwise(b))
+
+    return queries.join(F.broadcast(table)).withColumn("b", let(unit(F.col("vector")), nearest)).select("vec_id", "b.s", "b.ord", "b.label")

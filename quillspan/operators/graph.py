@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,30 +25,28 @@ def nodes(entities: DataFrame) -> DataFrame:
     return rows.select(*VIEW, F.col("entity_ord").alias("ord"), "entity_id", "label", center(b)["x"].alias("x"), center(b)["y"].alias("y"))
 
 
-def _neighbours(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
-    at = rows[["x", "y"]].to_numpy()
-    panel = (rows["label"] == fixed.PANEL).to_numpy()
-    n = len(rows)
-    lows, highs = [], []
+_ENDS = ("entity_id", "label", "x", "y")
+
+
+def _neighbours(rows: pa.Table, k: int) -> pa.Table:
+    rows = rows.sort_by("ord")
+    x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
+    n = rows.num_rows
+    pairs = []
     for s in range(0, n, 512):
         part = np.arange(s, min(s + 512, n))
-        d = np.hypot(at[part, None, 0] - at[None, :, 0], at[part, None, 1] - at[None, :, 1])
+        d = np.hypot(x[part, None] - x, y[part, None] - y)
         d[np.arange(len(part)), part] = np.inf  # a node isn't its own neighbour
         near = np.argsort(d, axis=1, kind="stable")[:, : min(k, n - 1)]
-        a = np.repeat(part, near.shape[1])
-        lows.append(np.minimum(a, near.ravel()))
-        highs.append(np.maximum(a, near.ravel()))
-    for p in np.nonzero(panel)[0]:
+        own = np.repeat(part, near.shape[1])
+        pairs.append(np.minimum(own, near.ravel()) * n + np.maximum(own, near.ravel()))
+    for p in np.nonzero(pc.equal(rows.column("label"), fixed.PANEL).to_numpy(zero_copy_only=False))[0]:
         others = np.delete(np.arange(n), p)
-        lows.append(np.minimum(others, p))
-        highs.append(np.maximum(others, p))
-    pairs = np.unique(np.column_stack((np.concatenate(lows), np.concatenate(highs))), axis=0) if n > 1 else np.empty((0, 2), int)
-    left, right = rows.iloc[pairs[:, 0]].reset_index(drop=True), rows.iloc[pairs[:, 1]].reset_index(drop=True)
-    out = left[VIEW].copy()
-    for c in ("entity_id", "label", "x", "y"):
-        out[f"{c}_1"], out[f"{c}_2"] = left[c], right[c]
-    return out
+        pairs.append(np.minimum(others, p) * n + np.maximum(others, p))
+    keys = np.unique(np.concatenate(pairs)) if n > 1 else np.empty(0, dtype=np.int64)
+    left, right = rows.take(pa.array(keys // n)), rows.take(pa.array(keys % n))
+    ends = {f"{c}_{e}": side.column(c) for c in _ENDS for e, side in ((1, left), (2, right))}
+    return pa.table({c: left.column(c) for c in VIEW} | ends)
 
 
 def candidates(nodes_: DataFrame, *, k: int = 8) -> DataFrame:
@@ -55,7 +55,7 @@ def candidates(nodes_: DataFrame, *, k: int = 8) -> DataFrame:
     A view is a drawing on one sheet; distances are computed in blocks of its nodes.
     """
     schema = "set_id string, sheet_ord int, view_ord int, entity_id_1 string, entity_id_2 string, label_1 string, label_2 string, x_1 double, x_2 double, y_1 double, y_2 double"
-    return nodes_.groupBy(*VIEW).applyInPandas(lambda rows: _neighbours(rows, k), schema)
+    return nodes_.groupBy(*VIEW).applyInArrow(lambda rows: _neighbours(rows, k), schema)
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,17 +39,21 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], threshold: f
     return pairs.where(F.col("iou") >= threshold).select(*keys, "left_ord", "left_conf", "right_ord", "iou")
 
 
-def _greedy(rows: pd.DataFrame, *, by_confidence: bool, latest: bool) -> pd.DataFrame:
-    used, out = set(), []
-    order = ["left_conf", "left_ord", "right_ord"] if by_confidence else ["left_ord", "right_ord"]
-    rows = rows.sort_values(order, ascending=[False, True, True] if by_confidence else [True, True], kind="stable")
-    for _, own in rows.groupby("left_ord", sort=False):
-        free = own[~own["right_ord"].isin(used)]
-        if len(free):
-            top = free[free["iou"] == free["iou"].max()].iloc[-1 if latest else 0]
-            used.add(top["right_ord"])
-            out.append(top)
-    return pd.DataFrame(out, columns=rows.columns)
+def _greedy(rows: pa.Table, *, by_confidence: bool, latest: bool) -> pa.Table:
+    order = ([("left_conf", "descending")] if by_confidence else []) + [("left_ord", "ascending"), ("right_ord", "ascending")]
+    rows = rows.sort_by(order)
+    lefts, rights, overlaps = (rows.column(c).to_pylist() for c in ("left_ord", "right_ord", "iou"))
+    used, out, k = set(), [], 0
+    while k < len(lefts):
+        best, at, left = 0.0, None, lefts[k]
+        while k < len(lefts) and lefts[k] == left:
+            if rights[k] not in used and (overlaps[k] >= best if latest else overlaps[k] > best):
+                best, at = overlaps[k], k
+            k += 1
+        if at is not None:
+            used.add(rights[at])
+            out.append(at)
+    return rows.take(pa.array(out, pa.int64()))
 
 
 def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], *, threshold: float = 0.5, by_confidence: bool = True, latest: bool = False) -> DataFrame:
@@ -63,7 +68,7 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], *, threshol
     alone = (F.col("n_left_ord") == 1) & (F.col("n_right_ord") == 1)
     columns = [*keys, "left_ord", "left_conf", "right_ord", "iou"]
     contested = rated.where(~alone).select(*columns)
-    solved = contested.groupBy(*keys).applyInPandas(lambda rows: _greedy(rows, by_confidence=by_confidence, latest=latest), contested.schema)
+    solved = contested.groupBy(*keys).applyInArrow(lambda rows: _greedy(rows, by_confidence=by_confidence, latest=latest), contested.schema)
     return rated.where(alone).select(*columns).unionByName(solved).drop("left_conf")
 
 
