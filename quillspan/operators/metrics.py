@@ -61,7 +61,8 @@ def average_precision(rows: DataFrame, n_true: DataFrame) -> DataFrame:
     best = best.select("label", "bucket", F.max("best").over(later).alias("later"))
     envelope = F.greatest(F.max("p").over(within.rowsBetween(0, Window.unboundedFollowing)), "later")
     gained = curve.join(best, ["label", "bucket"]).withColumn("env", envelope).where("hit = 1").groupBy("label").agg(F.sum("env").alias("s"))
-    return n_true.join(gained, "label", "left").where("n_true > 0").select("label", (F.coalesce("s", F.lit(0.0)) / F.col("n_true")).alias("ap"))
+    both = n_true.select("label", F.col("n_true").cast("double").alias("n"), F.lit(0.0).alias("s")).unionByName(gained.select("label", F.lit(0.0).alias("n"), "s"))
+    return both.groupBy("label").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where("n > 0").select("label", (F.col("s") / F.col("n")).alias("ap"))
 
 
 def per_class_ap(pred: DataFrame, true: DataFrame, *, threshold: float = 0.5) -> DataFrame:
@@ -125,9 +126,11 @@ def dimension_accuracy(pred: DataFrame, true: DataFrame, *, tolerance_mm: float
 def panoptic_quality(pred: DataFrame, true: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """Overlap of the matches, in document order, over matches and half of what either side has left."""
     p, t = detections(pred), detections(true)
-    hit = greedy_match(p, t, ["doc", "label"], threshold=threshold, by_confidence=False).agg(F.sum("iou").alias("s"), F.count("*").alias("tp"))
-    n = p.agg(F.count("*").alias("np")).join(t.agg(F.count("*").alias("nt")))  # one row each
-    return hit.join(n).select(F.coalesce(F.col("s") / F.nullif(F.col("tp") + (F.col("np") - F.col("tp")) / 2 + (F.col("nt") - F.col("tp")) / 2, F.lit(0.0)), F.lit(0.0)).alias("value"))
+    hits = greedy_match(p, t, ["doc", "label"], threshold=threshold, by_confidence=False)
+    # A match is worth its overlap; matches and half of the rest of both sides are half of all boxes.
+    boxes = p.unionByName(t).select(F.lit(0.0).alias("iou"), F.lit(0.5).alias("half"))
+    both = hits.select("iou", F.lit(0.0).alias("half")).unionByName(boxes)
+    return _one(both, F.sum("iou") / F.nullif(F.sum("half"), F.lit(0.0)))
 
 
 def wall_polygons(rows: DataFrame) -> DataFrame:
