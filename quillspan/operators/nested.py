@@ -2,7 +2,8 @@
 
 A record is parsed in one pass into (path, ordinals, value) triples; paths are grouped by their repeated
 ancestor, and each group is pivoted into the rows of one table. A record is one row of the input, so its
-triples are grouped and pivoted where it is parsed: nothing is shuffled but the finished narrow rows.
+triples are grouped and pivoted where it is parsed. Redelivered records are dropped before that by key and payload,
+so objects are never compared with each other.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ TABLES = {
 }
 _CHILDREN = {t: [(c, path) for c, (p, path) in TABLES.items() if p == t] for t in TABLES}
 _SLOT = {"sheet": 0, "view": 1, "entity": 2, "connection": 2, "port": 3, "issue": 2}
-_FLAT = "set_key bigint, node_kind string, sheet_ord int, view_ord int, item_ord int, sub_ord int, fields map<string,string>"
+_FLAT = "set_key bigint, node_kind string, sheet_ord int, view_ord int, item_ord int, sub_ord int, fields map<string,string>, record string, list_ord int"
 
 
 def _decoded(value: Any) -> Any:
@@ -85,7 +86,8 @@ def triples(record: dict) -> Iterator[tuple[str, tuple[int, ...], str | None]]:
 
     A path names the repeated ancestor and, after a colon, the member: ``entity:`` is an entity itself,
     ``entity:geometry`` one of its members. Members that are tables of their own are walked, not repeated.
-    Several lists of one name below one parent are numbered in one sequence per list.
+    Ordinals are those of sheet, view, item and sub-item. A parent may have several lists of one name at different
+    depths, each numbered from 0: the objects of such lists have the list's number below the parent as a fifth one.
     """
     stack: list[tuple[str, tuple[int, ...], dict]] = [("set", (-1, -1, -1, -1), record)]
     while stack:
@@ -97,12 +99,13 @@ def triples(record: dict) -> Iterator[tuple[str, tuple[int, ...], str | None]]:
                 yield f"{kind}:{k}", ords, v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
         below = []
         for child, path in _CHILDREN[kind]:
-            lists = [obj.get(path[0])] if len(path) == 1 else _lists(obj.get(path[0]), path[-1])
-            for value in lists:
+            anywhere = len(path) > 1
+            lists = _lists(obj.get(path[0]), path[-1]) if anywhere else [obj.get(path[0])]
+            for number, value in enumerate(lists):
                 for at, item in _items(value):
                     slot = list(ords)
                     slot[_SLOT[child]] = at
-                    below.append((child, tuple(slot), item))
+                    below.append((child, (*slot, number) if anywhere else tuple(slot), item))
         stack.extend(reversed(below))
 
 
@@ -121,50 +124,63 @@ def _pivoted(record: dict, with_fields: bool) -> Iterator[tuple[str, tuple[int,
         yield row
 
 
-def flatten(df: DataFrame, *, key: str = "set_key", payload: str = "payload", kinds: tuple[str, ...] = tuple(TABLES), with_fields: bool = True) -> DataFrame:
+def flatten(df: DataFrame, *, key: str = "set_key", payload: str = "payload", kinds: tuple[str, ...] = tuple(TABLES), with_fields: bool = True, with_origin: bool = False) -> DataFrame:
     """Rows (set_key, node_kind, sheet_ord, view_ord, item_ord, sub_ord, fields) of every object of readable payloads.
 
     Ordinals are the links to the parents: they count positions from 0, null items included, and are -1 where they
     don't apply. ``fields`` maps each member to its text (JSON for numbers, lists and objects). Payloads that are
     null, empty, broken, no object, or of a foreign schema version give no rows (``unreadable`` lists them). A row
     delivered twice (equal key and payload) counts once. Objects of a null key are kept under the null key.
+
+    ``with_origin`` adds what tells apart objects of equal key and ordinals: ``record`` (SHA-256 of the payload, for
+    different payloads of one key or of none) and ``list_ord`` (the list's number below its parent in document order,
+    -1 for kinds with one list only). Without fields the distinct ordinals come out, not the objects.
     """
+    names = [f.split()[0] for f in _FLAT.split(", ")]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            out: list[list] = [[] for _ in range(7)]
-            for k, text in zip(keys, texts):
+            keys, texts, origins = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
+            out: list[list] = [[] for _ in names]
+            for k, text, origin in zip(keys, texts, origins):
                 record = read_record(text.as_py())
                 if record is None:
                     continue
                 for kind, ords, fields in _pivoted(record, with_fields):
                     if kind in kinds:
-                        for column, v in zip(out, (k, kind, *ords, fields)):
+                        for column, v in zip(out, (k, kind, *ords[:4], fields, origin, ords[4] if len(ords) > 4 else -1)):
                             column.append(v)
                 if len(out[0]) >= 20_000:
                     yield _batch(out)
-                    out = [[] for _ in range(7)]
+                    out = [[] for _ in names]
             if out[0]:
                 yield _batch(out)
 
     rows = df.select(F.col(f"`{key}`").cast("bigint").alias("set_key"), F.col(f"`{payload}`").cast("string").alias("payload"))
-    flat = rows.mapInArrow(parse, _FLAT)
-    ordinals = ["set_key", "node_kind", "sheet_ord", "view_ord", "item_ord", "sub_ord"]
-    return flat.dropDuplicates([*ordinals]) if with_fields else flat.select(*ordinals).distinct()
+    origin = F.sha2("payload", 256) if with_origin else F.lit(None).cast("string")
+    if not with_fields and not with_origin:
+        return rows.withColumn("record", origin).mapInArrow(parse, _FLAT).select(*names[:6]).distinct()
+    flat = rows.distinct().withColumn("record", origin).mapInArrow(parse, _FLAT)
+    return flat.select(*names[:6], *(["fields"] if with_fields else []), *(["record", "list_ord"] if with_origin else []))
 
 
 def _batch(columns: list[list]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string())]
-    names = ["set_key", "node_kind", "sheet_ord", "view_ord", "item_ord", "sub_ord", "fields"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.string(), pa.int32()]
+    names = [f.split()[0] for f in _FLAT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
 
 def flat_table(flat: DataFrame, kind: str, columns: list[str]) -> DataFrame:
-    """One related table: the parents' ordinals, the own ones, and ``columns`` out of the pivoted members."""
+    """One related table: the parents' ordinals, the own ones, and ``columns`` out of the pivoted members.
+
+    Of a ``flat`` with origins, ``record`` is part of every key, and ``list_ord`` of those in lists at any depth.
+    """
     own = {"set": [], "sheet": ["sheet_ord"], "view": ["sheet_ord", "view_ord"], "issue": ["item_ord"], "port": ["sheet_ord", "view_ord", "item_ord", "sub_ord"]}
     ordinals = own.get(kind, ["sheet_ord", "view_ord", "item_ord"])
-    return flat.where(F.col("node_kind") == kind).select("set_key", *ordinals, *[F.col("fields")[c].alias(c) for c in columns])
+    origin = ["record"] if "record" in flat.columns else []
+    if origin and len(TABLES[kind][1]) > 1:
+        ordinals = [*ordinals[:-1], "list_ord", ordinals[-1]]
+    return flat.where(F.col("node_kind") == kind).select("set_key", *origin, *ordinals, *[F.col("fields")[c].alias(c) for c in columns])
 
 
 def unreadable(df: DataFrame, *, key: str = "set_key", payload: str = "payload") -> DataFrame:

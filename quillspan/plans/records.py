@@ -26,7 +26,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat_table(flatten(table(spark, sf_dir, "raw_drawing_sets"), kinds=(kind,)), kind, _COLUMNS[kind])
+        return flat_table(flatten(table(spark, sf_dir, "raw_drawing_sets"), kinds=(kind,), with_origin=True), kind, _COLUMNS[kind])
 
     return query
 

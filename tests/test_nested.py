@@ -2,6 +2,7 @@ import json
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillspan.operators import nested as N
 from tests.conftest import rows
@@ -61,6 +62,25 @@ def test_repeated_rows_null_keys_and_empty_table(spark):
     assert N.flatten(df.where("false")).count() == 0
 
 
+def test_objects_of_several_lists_and_payloads_are_kept(spark):
+    """Lists of one name at different depths, and different payloads of one key or none, keep all their objects."""
+    one = {"schema_version": "0.2.0", "id": "one", "metadata": {"a": {"issues": [{"number": 1}, {"number": 2}]}, "issues": {"number": 3}}}
+    entity = {"attributes": {"ports": [{"name": "p"}], "in": [{"ports": None}, {"ports": [None, {"name": "q"}, {"name": "r"}]}]}}
+    two = {"schema_version": "0.2.0", "id": "two", "metadata": {"issues": {"number": 4}}, "sheets": {"views": {"entities": entity}}}
+    df = spark.createDataFrame([(k, json.dumps(p)) for k, p in [(None, one), (None, two), (None, one), (7, one), (7, one), (7, two)]], "set_key bigint, payload string")
+    flat = N.flatten(df, with_origin=True)
+    for key in (None, 7):
+        mine = flat.where(F.col("set_key").eqNullSafe(F.lit(key).cast("bigint")))
+        sets = {r["record"]: r["id"] for r in N.flat_table(mine, "set", ["id"]).collect()}
+        assert sorted(sets.values()) == ["one", "two"]
+        issues = N.flat_table(mine, "issue", ["number"])
+        assert issues.columns == ["set_key", "record", "list_ord", "item_ord", "number"]
+        assert sorted((sets[r[1]], *r[2:]) for r in issues.collect()) == [("one", 0, 0, "1"), ("one", 0, 1, "2"), ("one", 1, 0, "3"), ("two", 0, 0, "4")]
+        ports = N.flat_table(mine, "port", ["name"]).collect()
+        assert sorted((sets[r[1]], *r[2:]) for r in ports) == [("two", 0, 0, 0, 0, 0, "p"), ("two", 0, 0, 0, 2, 1, "q"), ("two", 0, 0, 0, 2, 2, "r")]
+    assert N.flat_table(N.flatten(df), "issue", ["number"]).count() == 8
+
+
 def test_very_deep_and_very_long():
     deep = {"schema_version": "0.1.0", "metadata": {"issues": []}}
     inner = deep["metadata"]
