@@ -24,10 +24,13 @@ TABLES = {
     "entity": ("view", ("entities",)),
     "connection": ("view", ("connections",)),
     "port": ("entity", ("attributes", "**", "ports")),
+    "text_span": ("entity", ("text_spans",)),
     "issue": ("set", ("metadata", "**", "issues")),
 }
 _CHILDREN = {t: [(c, path) for c, (p, path) in TABLES.items() if p == t] for t in TABLES}
-_SLOT = {"sheet": 0, "view": 1, "entity": 2, "connection": 2, "port": 3, "issue": 2}
+_SLOT = {"sheet": 0, "view": 1, "entity": 2, "connection": 2, "port": 3, "text_span": 3, "issue": 2}
+#: Members that are tables of their own only; those of other tables are also members of their parents.
+_OWN = {"sheets", "views", "entities", "connections"}
 _FLAT = "set_key bigint, node_kind string, sheet_ord int, view_ord int, item_ord int, sub_ord int, fields map<string,string>, record string, list_ord int"
 
 
@@ -93,7 +96,7 @@ def triples(record: dict) -> Iterator[tuple[str, tuple[int, ...], str | None]]:
     while stack:
         kind, ords, obj = stack.pop()
         yield f"{kind}:", ords, None
-        own = {path[0] for _, path in _CHILDREN[kind] if len(path) == 1}
+        own = _OWN.intersection(path[0] for _, path in _CHILDREN[kind])
         for k, v in obj.items():
             if k not in own:
                 yield f"{kind}:{k}", ords, v if isinstance(v, str) or v is None else json.dumps(v, ensure_ascii=False)
@@ -170,17 +173,21 @@ def _batch(columns: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
 
 
-def flat_table(flat: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+def flat_table(flat: DataFrame, kind: str, columns: list[str], *, rest: str | None = None) -> DataFrame:
     """One related table: the parents' ordinals, the own ones, and ``columns`` out of the pivoted members.
 
+    ``rest`` names a further column with all other members as a JSON object of their texts, null if there are none.
+
     Of a ``flat`` with origins, ``record`` is part of every key, and ``list_ord`` of those in lists at any depth.
     """
-    own = {"set": [], "sheet": ["sheet_ord"], "view": ["sheet_ord", "view_ord"], "issue": ["item_ord"], "port": ["sheet_ord", "view_ord", "item_ord", "sub_ord"]}
+    own = {"set": [], "sheet": ["sheet_ord"], "view": ["sheet_ord", "view_ord"], "issue": ["item_ord"], **dict.fromkeys(("port", "text_span"), ["sheet_ord", "view_ord", "item_ord", "sub_ord"])}
     ordinals = own.get(kind, ["sheet_ord", "view_ord", "item_ord"])
     origin = ["record"] if "record" in flat.columns else []
     if origin and len(TABLES[kind][1]) > 1:
         ordinals = [*ordinals[:-1], "list_ord", ordinals[-1]]
-    return flat.where(F.col("node_kind") == kind).select("set_key", *origin, *ordinals, *[F.col("fields")[c].alias(c) for c in columns])
+    others = F.map_filter("fields", lambda k, _: ~k.isin(*columns))
+    more = [F.when(F.size(others) > 0, F.to_json(others)).alias(rest)] if rest else []
+    return flat.where(F.col("node_kind") == kind).select("set_key", *origin, *ordinals, *[F.col("fields")[c].alias(c) for c in columns], *more)
 
 
 def unreadable(df: DataFrame, *, key: str = "set_key", payload: str = "payload") -> DataFrame:

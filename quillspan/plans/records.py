@@ -12,9 +12,10 @@ _COLUMNS = {
     "set": ["schema_version", "id", "name", "source", "metadata", "license_provenance", "data_lane"],
     "sheet": ["id", "sheet_number", "discipline", "title_block"],
     "view": ["id", "view_type"],
-    "entity": ["id", "entity_type", "label", "confidence", "geometry", "attributes", "license_provenance", "data_lane"],
+    "entity": ["id", "entity_type", "label", "confidence", "geometry", "attributes", "license_provenance", "data_lane", "ontology", "text_spans"],
     "connection": ["id", "source_id", "target_id", "connection_type", "confidence"],
     "port": ["name", "amps", "tags"],
+    "text_span": ["text", "confidence", "source_bbox", "rotation_deg"],
     "issue": ["number", "status", "on"],
 }
 
@@ -26,7 +27,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flat_table(flatten(table(spark, sf_dir, "raw_drawing_sets"), kinds=(kind,), with_origin=True), kind, _COLUMNS[kind])
+        return flat_table(flatten(table(spark, sf_dir, "raw_drawing_sets"), kinds=(kind,), with_origin=True), kind, _COLUMNS[kind], rest="rest")
 
     return query
 

@@ -5,6 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspan.operators import nested as N
+from quillspan.plans.records import QUERIES
 from tests.conftest import rows
 
 PORT = {"name": "p0", "amps": 20}
@@ -81,6 +82,21 @@ def test_objects_of_several_lists_and_payloads_are_kept(spark):
     assert N.flat_table(N.flatten(df), "issue", ["number"]).count() == 8
 
 
+def test_registered_tables_keep_every_member(spark, tmp_path):
+    """Ontology and text spans have columns, spans a table as well, and members without a column are in ``rest``."""
+    spans = [{"text": "TYP."}, None, {"text": "WP", "confidence": 0.5, "bbox": [1, 2]}]
+    entity = {"id": "e", "ontology": {"masterformat": "26"}, "text_spans": json.dumps(spans), "sheets": 1, "extra": None, "ports": "x"}
+    record = {"schema_version": "0.2.0", "new": [1], "sheets": {"scale": 2, "views": {"id": "v", "entities": [entity, {"id": "f"}]}}}
+    frame(spark, [json.dumps(record)]).write.parquet(str(tmp_path / "raw_drawing_sets.parquet"))
+    one = lambda name, *columns: rows(QUERIES[name](spark, str(tmp_path)), *columns)
+    assert one("p4_entities", "id", "ontology", "text_spans", "rest") == [
+        ("e", '{"masterformat": "26"}', json.dumps(spans), '{"sheets":"1","extra":null,"ports":"x"}'), ("f", None, None, None)
+    ]
+    assert one("p4_text_spans", "sheet_ord", "view_ord", "item_ord", "sub_ord", "text", "confidence", "rest") == [(0, 0, 0, 0, "TYP.", None, None), (0, 0, 0, 2, "WP", "0.5", '{"bbox":"[1, 2]"}')]
+    assert one("p4_sets", "schema_version", "rest") == [("0.2.0", '{"new":"[1]"}')]
+    assert one("p4_sheets", "rest") == [('{"scale":"2"}',)] and one("p4_views", "id", "rest") == [("v", None)]
+
+
 def test_very_deep_and_very_long():
     deep = {"schema_version": "0.1.0", "metadata": {"issues": []}}
     inner = deep["metadata"]
