@@ -7,7 +7,8 @@ often as its sizes last. Items then take their places by their rank among those
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from quillspan.common import cut, partitions
 
 NODES = 400  # search nodes a filling; the best filling met so far is taken beyond
+WIDTH = 8  # sizes tried a node while a filling is searched; the branching below tries all
+STEPS = 1_000_000  # sizes looked at while branching over fillings; the best packing met so far is taken beyond
 _SALTS = 32
 _BLOCK = 1 << 20  # ranks of one size that are placed together
 _SLOTS = "pack string, cost bigint, first_rank bigint, places bigint, container bigint, uses int, position int, containers bigint, least bigint"
@@ -47,7 +50,7 @@ def _best_filling(costs: list[int], counts: dict[int, int], room: int, nodes: in
             return True
         at = bisect_right(costs, min(room, top)) - 1
         tried = 0
-        while at >= 0 and tried < 8:
+        while at >= 0 and tried < WIDTH:
             c = costs[at]
             at -= 1
             if counts[c] <= used.get(c, 0):
@@ -78,13 +81,113 @@ def _best_fit(costs: list[int], counts: dict[int, int], room: int) -> list[int]:
     return out
 
 
-def fillings(sizes: dict[int, int], capacity: int, *, nodes: int = NODES) -> tuple[list[tuple[int, list[int]]], int]:
+def _undominated(counts: dict[int, int], capacity: int, spent: list[int]) -> Iterator[dict[int, int]]:
+    """Every undominated filling with the largest size (cost: uses), those with more of the larger sizes first.
+
+    A filling is dominated if items of it (or none) can be replaced by one left out that is as large as all of them or
+    larger and still fits: whatever is packed with it can be packed as well with the other one.
+    """
+    sizes = sorted(counts, reverse=True)
+    falling = [-c for c in sizes]
+    chosen: list[list[int]] = []
+
+    def extend(at: int, room: int) -> int:
+        while (at := max(at, bisect_left(falling, -room))) < len(sizes):
+            n = min(counts[sizes[at]], room // sizes[at])
+            chosen.append([at, n])
+            room -= n * sizes[at]
+            at += 1
+        spent[0] += len(chosen)
+        return room
+
+    def dominated(room: int) -> bool:
+        uses = {sizes[i]: n for i, n in chosen}
+        one, more = 0, 0  # bits: sums of one item, of several
+        for c, n in uses.items():
+            for _ in range(n):
+                more |= (one | more) << c
+                one |= 1 << c
+            spent[0] += n * (1 + (capacity >> 12))
+        sums, window = 1 | one | more, (1 << room) - 1
+        for c in sizes:
+            spent[0] += 1
+            if counts[c] > uses.get(c, 0) and (c <= room or (sums >> (c - room)) & window or (more >> c) & 1):
+                return True
+        return False
+
+    room = extend(0, capacity)
+    while True:
+        if not dominated(room):
+            yield {sizes[i]: n for i, n in chosen}
+        at, n = chosen[-1]
+        if at == 0 and n == 1:
+            return
+        room += sizes[at]
+        if n == 1:
+            chosen.pop()
+        else:
+            chosen[-1][1] -= 1
+        room = extend(at + 1, room)
+        if spent[0] > spent[1]:
+            return
+
+
+def _bound(counts: dict[int, int], capacity: int) -> int:
+    """Waste bound: no packing has fewer containers than without any space lost, or than there are halves exceeded."""
+    return max(-(-sum(c * n for c, n in counts.items()) // capacity), sum(n for c, n in counts.items() if 2 * c > capacity))
+
+
+def _branched(sizes: dict[int, int], capacity: int, most: int, steps: int) -> list[tuple[int, list[int]]] | None:
+    """The best packing with fewer than ``most`` containers, if there is one and the steps suffice to meet it.
+
+    Depth first over the undominated fillings around the largest size left and over how often each is used. A branch
+    is left if its containers and the bound of what it leaves reach the incumbent, or if the same was left with as few
+    containers before. It is exact if it ends within the steps.
+    """
+    counts = {c: n for c, n in sizes.items() if n > 0}
+    least, spent, used = _bound(counts, capacity), [0, steps], 0
+    best: list[tuple[int, list[int]]] | None = None
+    path: list[tuple[int, dict[int, int]]] = []
+    seen: dict[frozenset, int] = {}
+
+    def moves(left: dict[int, int]) -> Iterator[tuple[int, dict[int, int]]]:
+        for uses in _undominated(left, capacity, spent):
+            for times in range(min(left[c] // u for c, u in uses.items()), 0, -1):
+                yield times, uses
+
+    frames = [moves(counts)]
+    lefts = [counts]
+    while frames and most > least and spent[0] <= steps:
+        move = next(frames[-1], None)
+        if move is None:
+            frames.pop()
+            lefts.pop()
+            if path:
+                used -= path.pop()[0]
+            continue
+        times, uses = move
+        left = {c: n - times * uses.get(c, 0) for c, n in lefts[-1].items() if n > times * uses.get(c, 0)}
+        spent[0] += len(lefts[-1])
+        if not left:
+            if used + times < most:
+                most = used + times
+                best = [(t, [c for c, u in f.items() for _ in range(u)]) for t, f in [*path, move]]
+        elif used + times + _bound(left, capacity) < most and seen.get(key := frozenset(left.items()), most) > used + times:
+            seen[key] = used + times
+            used += times
+            path.append(move)
+            frames.append(moves(left))
+            lefts.append(left)
+    return best
+
+
+def fillings(sizes: dict[int, int], capacity: int, *, nodes: int = NODES, steps: int = STEPS) -> tuple[list[tuple[int, list[int]]], int]:
     """(how often, costs) of all containers for items of ``sizes`` (cost: count), and the least possible number.
 
-    Best fit gives the first incumbent; if that is above the bound, bin completion is tried, and the better one kept.
+    Best fit gives the first incumbent; if that is above the bound, one filling after the other is searched and kept,
+    and if the better one is still above, bin completion branches over all fillings.
     """
-    total = sum(c * n for c, n in sizes.items())
-    least = max(-(-total // capacity), sum(n for c, n in sizes.items() if 2 * c > capacity))
+    least = _bound(sizes, capacity)
     best: list[tuple[int, list[int]]] | None = None
     for search in (False, True):
         counts = {c: n for c, n in sizes.items() if n > 0}
@@ -113,8 +216,8 @@ def fillings(sizes: dict[int, int], capacity: int, *, nodes: int = NODES) -> tup
         if best is None or sum(t for t, _ in made) < sum(t for t, _ in best):
             best = made
         if sum(t for t, _ in best) <= least:
-            break
-    return best, least
+            return best, least
+    return _branched(sizes, capacity, sum(t for t, _ in best), steps) or best, least
 
 
 def _solve(rows: pd.DataFrame) -> pd.DataFrame:

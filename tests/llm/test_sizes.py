@@ -75,6 +75,12 @@ def fewest(items, capacity):
     return best
 
 
+@pytest.mark.parametrize("items, capacity", [([4, 6, 6, 7, 8, 9, 9, 10], 20), ([22, 24, 29, 36, 41, 45, 46, 49], 100), ([10, 11, 15, 19, 21, 21, 22, 25], 50)])
+def test_branching_finds_what_one_filling_after_the_other_misses(items, capacity):
+    count = lambda **bound: sum(t for t, _ in P.fillings(dict(Counter(items)), capacity, **bound)[0])
+    assert count() == fewest(items, capacity) == 3 and count(steps=0) == 4
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
 def test_fillings_against_the_optimum(items):
