@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 BANDS, ROWS = 40, 2
 #: Names with fewer letters have too few shingles for bands to be sure; every form with one letter left out is a bucket.
 SHORT = 12
+#: The same goes for names of at most so many distinct letter pairs, however long. One typo changes three of them at most.
+FEW, CHANGED = 12, 3
 
 # Spellings of the splits, and the SHA-256 of empty content.
 _SPLITS = {"train": ("train", "training", "trn"), "validation": ("validation", "valid", "val", "dev"), "test": ("test", "testing", "tst")}
@@ -84,12 +86,15 @@ def shingles(body: Column) -> Column:
 
 
 def _buckets(body: Column, pairs: Column) -> Column:
-    """Banded minwise hashes of the shingles; of short bodies, the forms with one letter left out and the body."""
+    """Banded minwise hashes of the shingles; of bodies that are short or of few shingles, the body and its forms with
+    one letter left out. Next to the limits both, so that two bodies one typo apart always have one kind in common."""
     least = lambda seed: F.array_min(F.transform(pairs, lambda s: F.xxhash64(s, seed)))
     banded = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, *[least(b * ROWS + r) for r in range(ROWS)]))
-    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda k: F.concat(F.substring(body, F.lit(1), k - 1), F.substring(body, k + 1, F.length(body))))
-    forms = F.transform(F.array_distinct(F.concat(F.array(body), cut)), lambda s: F.xxhash64(s))
-    return F.when(F.length(body) < SHORT, forms).when(F.length(body) == SHORT, F.concat(forms, banded)).otherwise(banded)
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), lambda k: F.xxhash64(F.concat(F.substring(body, F.lit(1), k - 1), F.substring(body, k + 1, F.length(body)))))
+    forms = F.array_distinct(F.concat(F.array(F.xxhash64(body)), cut))
+    exact = (F.length(body) <= SHORT) | (F.size(pairs) <= FEW + CHANGED)
+    bands = (F.length(body) >= SHORT) & (F.size(pairs) > FEW)
+    return F.when(exact & bands, F.concat(forms, banded)).when(exact, forms).otherwise(banded)
 
 
 def _one_typo(a: Column, b: Column) -> Column:
