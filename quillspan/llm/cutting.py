@@ -16,21 +16,25 @@ RANGE = 1 << 20  # pixels
 _KEY = ["tiling_id", "axis", "length", "tile", "overlap", "request"]
 
 
-def _axes(sheets: DataFrame, *, whole: bool) -> DataFrame:
-    """Valid axes, one row each: those above the limit, and if ``whole`` also those that fit."""
+def _axes(sheets: DataFrame, *, whole: bool, paired: bool = False) -> DataFrame:
+    """Valid axes, one row each: those above the limit, and if ``whole`` also those that fit.
+
+    ``request`` tells apart axes of equal key but other breaks; if ``paired`` it is one hash for both axes of a sheet.
+    """
     axis = lambda name, length, breaks: F.struct(F.lit(name).alias("axis"), F.col(length).cast("long").alias("length"), F.col(breaks).alias("breaks"))
     rows = sheets.select(
         "tiling_id",
         F.col("tile_size").cast("long").alias("tile"),
         F.coalesce(F.col("overlap"), F.lit(0)).cast("long").alias("overlap"),
         F.explode(F.array(axis("x", "full_width", "x_breaks"), axis("y", "full_height", "y_breaks"))).alias("a"),
-    ).select("tiling_id", "a.axis", "a.length", "tile", "overlap", "a.breaks")
+        F.xxhash64(F.to_json(F.struct("full_width", "full_height", "tile_size", "overlap", "x_breaks", "y_breaks"))).alias("sheet"),
+    ).select("tiling_id", "a.axis", "a.length", "tile", "overlap", "a.breaks", "sheet")
     rows = rows.where((F.col("tile") > 0) & (F.col("overlap") >= 0) & (F.col("overlap") < F.col("tile")) & (F.col("length") > 0))
     if not whole:
         rows = rows.where(F.col("length") > F.col("tile"))
     inside = F.filter(F.coalesce(F.col("breaks"), F.array().cast("array<int>")), lambda b: (b > F.col("overlap")) & (b < F.col("length")))
     inside = F.array_sort(F.array_distinct(F.transform(inside, lambda b: b.cast("long"))))
-    return rows.withColumn("breaks", inside).withColumn("request", F.xxhash64("breaks")).distinct()
+    return rows.withColumn("breaks", inside).withColumn("request", F.col("sheet") if paired else F.xxhash64("breaks")).drop("sheet").distinct()
 
 
 def _cuts(bounds: Column, start: Column, step: Column) -> Column:
@@ -57,9 +61,9 @@ def _cuts(bounds: Column, start: Column, step: Column) -> Column:
     return F.aggregate(bounds, first, reach, end)
 
 
-def _ranges(sheets: DataFrame, range_size: int, *, whole: bool = False) -> DataFrame:
+def _ranges(sheets: DataFrame, range_size: int, *, whole: bool = False, paired: bool = False) -> DataFrame:
     """Of each range that has a boundary its cuts, from the last boundary before the range to its own last one."""
-    bounds = _axes(sheets, whole=whole).withColumn("at", F.explode(F.concat("breaks", F.array("length")))).drop("breaks")
+    bounds = _axes(sheets, whole=whole, paired=paired).withColumn("at", F.explode(F.concat("breaks", F.array("length")))).drop("breaks")
     bounds = bounds.groupBy(*_KEY, F.floor(F.col("at") / range_size).alias("range")).agg(F.array_sort(F.collect_set("at")).alias("bounds"))
     order = Window.partitionBy(*_KEY).orderBy("range")
     stitched = bounds.withColumn("start", F.coalesce(F.lag(F.element_at("bounds", -1)).over(order), F.col("overlap")))
@@ -89,7 +93,11 @@ def axis_pieces(sheets: DataFrame, *, range_size: int = RANGE, whole: bool = Fal
     overlap. ``ends_at`` is ``gutter``, ``limit`` (no gutter in reach) or ``end``. With ``whole`` also axes that fit,
     as one piece. The same cases as in ``axis_fits`` are left out.
     """
-    cut = _ranges(sheets, range_size, whole=whole)
+    return _pieces(sheets, range_size, whole=whole).drop("request")
+
+
+def _pieces(sheets: DataFrame, range_size: int, *, whole: bool, paired: bool = False) -> DataFrame:
+    cut = _ranges(sheets, range_size, whole=whole, paired=paired)
     order = Window.partitionBy(*_KEY).orderBy("range")
     before = F.coalesce(F.sum(F.size("cuts")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     pieces = cut.withColumn("before", before).select(*_KEY, "before", "start", "cuts", F.posexplode("cuts").alias("k", "cut"))
@@ -101,16 +109,17 @@ def axis_pieces(sheets: DataFrame, *, range_size: int = RANGE, whole: bool = Fal
         F.when(F.col("length") <= F.col("tile"), 0).otherwise(begin).cast("int").alias("px_start"),
         end.cast("int").alias("px_end"),
         F.when(end == F.col("length"), "end").when(F.col("cut.natural"), "gutter").otherwise("limit").alias("ends_at"),
-    ).drop("request")
+    )
 
 
 def sheet_pieces(sheets: DataFrame, *, range_size: int = RANGE) -> DataFrame:
     """(tiling_id, row, col, px_x, px_y, px_w, px_h) of every sheet above its limit on at least one axis.
 
     Sheets of which one axis has no valid length have no area and give no pieces here (``axis_pieces`` has the other).
+    Axes are those of one request, also where several have one id, or none: pieces without an id are kept under null.
     """
-    one = axis_pieces(sheets, range_size=range_size, whole=True)
-    side = lambda a, n, at, size: one.where(F.col("axis") == a).select("tiling_id", "tile", "overlap", F.col("length").alias(f"full_{a}"), F.col("piece").alias(n), F.col("px_start").alias(at), (F.col("px_end") - F.col("px_start")).alias(size))
-    both = side("x", "col", "px_x", "px_w").join(side("y", "row", "px_y", "px_h"), ["tiling_id", "tile", "overlap"])
+    one = _pieces(sheets, range_size, whole=True, paired=True)
+    side = lambda a, n, at, size: one.where(F.col("axis") == a).select("tiling_id", F.coalesce("tiling_id", F.lit(0)).alias("id"), F.col("tiling_id").isNull().alias("no_id"), "request", "tile", "overlap", F.col("length").alias(f"full_{a}"), F.col("piece").alias(n), F.col("px_start").alias(at), (F.col("px_end") - F.col("px_start")).alias(size))
+    both = side("x", "col", "px_x", "px_w").join(side("y", "row", "px_y", "px_h").drop("tiling_id"), ["id", "no_id", "request", "tile", "overlap"])
     large = (F.col("full_x") > F.col("tile")) | (F.col("full_y") > F.col("tile"))
     return both.where(large).select("tiling_id", "row", "col", "px_x", "px_y", "px_w", "px_h").distinct()

@@ -70,6 +70,15 @@ def test_grid_of_both_axes(spark):
     assert [r[0] for r in rows(C.axis_pieces(df), "tiling_id")].count(3) == 3
 
 
+def test_axes_of_several_requests_and_of_no_id(spark):
+    """Requests of one id or none have their own grids, not each other's."""
+    items = [(12, 5, 10, 0, None, [7]), (5, 12, 10, 0, [7], None), (12, 5, 10, 0, [7], None), (12, 5, 10, 0, [7], None)]
+    wanted = [(0, 0, 0, 0, 10, 5), (0, 1, 10, 0, 2, 5), (0, 0, 0, 0, 5, 10), (1, 0, 0, 10, 5, 2), (0, 0, 0, 0, 7, 5), (0, 1, 7, 0, 5, 5)]
+    for key in (None, 1):
+        got = rows(C.sheet_pieces(sheets(spark, [(key, *i) for i in items])))
+        assert got == sorted(((key, *w) for w in wanted), key=repr)
+
+
 def test_giant_axis(spark):
     """Far more ranges than one: pieces still follow each other without a gap."""
     length, breaks = 2_000_000_000, [k * 7_919_003 for k in range(1, 253)]
