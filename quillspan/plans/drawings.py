@@ -103,6 +103,11 @@ def takeoff_evidence(s, d):
     return takeoff.takeoff_evidence(_rows(s, d), min_confidence=0.25)
 
 
+@_query(f"SELECT set_id, discipline, label, sheet_number, entity_id, confidence, x_min, y_min, x_max, y_max FROM placed WHERE {_COUNTED}")
+def takeoff_evidence_all(s, d):
+    return takeoff.takeoff_evidence(_rows(s, d))
+
+
 @_query(f"SELECT set_id, sheet_number, label, count(*) AS n FROM placed WHERE {_COUNTED} GROUP BY ALL")
 def takeoff_by_sheet(s, d):
     return takeoff.by_sheet(_rows(s, d))

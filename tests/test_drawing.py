@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillspan.functions import geometry as G
 from quillspan.operators import boards, grounding, licensing, questions, takeoff
 from quillspan.operators.drawing import current
+from quillspan.plans import drawings
 from tests.conftest import rows
 
 ENTITY = f"set_id string, sheet_ord int, sheet_number string, discipline string, doc_ord bigint, entity_id string, entity_type string, label string, confidence double, geometry {G.GEOMETRY}, ifc_class string, ontology struct<masterformat:string,uniformat:string,omniclass:string,uniclass:string,extra:map<string,string>>, license_provenance string, data_lane string"
@@ -37,6 +38,14 @@ def test_counts_thresholds_and_exclusions(spark):
     assert rows(takeoff.totals(takeoff.takeoff_lines(e)), "n") == [(3,)] * 3
 
 
+def test_evidence_of_every_counted_entity_is_registered(spark, monkeypatch):
+    e = frame(spark, [entity(k, "Light Fixture", c) for k, c in enumerate((0.9, 0.25, 0.05, 0.0))])
+    monkeypatch.setattr(drawings, "_rows", lambda s, d: e)
+    assert rows(drawings.QUERIES["takeoff_evidence_all"](spark, ""), "confidence") == [(0.0,), (0.05,), (0.25,), (0.9,)]
+    assert rows(drawings.QUERIES["takeoff_lines"](spark, ""), "n") == [(4,)]
+    assert rows(drawings.QUERIES["takeoff_evidence"](spark, ""), "confidence") == [(0.25,), (0.9,)]
+
+
 def test_first_codes_win(spark):
     e = frame(spark, [entity(2, "x", codes=("26", None, None, None, {})), entity(1, "x", ifc="IfcOutlet"), entity(0, "x", ifc="", codes=("", None, None, None, {}))])
     assert rows(takeoff.takeoff_lines(e), "masterformat", "ifc_class") == [(None, "IfcOutlet")]
