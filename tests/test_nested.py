@@ -1,4 +1,6 @@
 import json
+import subprocess
+import sys
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,7 +61,7 @@ def test_tables_keep_members_and_parents(spark):
 
 def test_repeated_rows_null_keys_and_empty_table(spark):
     df = spark.createDataFrame([(None, json.dumps(RECORD)), (None, json.dumps(RECORD))], "set_key bigint, payload string")
-    assert N.flatten(df, with_fields=False).count() == len(EXPECTED)
+    assert N.positions(df).count() == len(EXPECTED) == N.flatten(df).count()
     assert N.flatten(df.where("false")).count() == 0
 
 
@@ -90,9 +92,9 @@ def test_registered_tables_keep_every_member(spark, tmp_path):
     frame(spark, [json.dumps(record)]).write.parquet(str(tmp_path / "raw_drawing_sets.parquet"))
     one = lambda name, *columns: rows(QUERIES[name](spark, str(tmp_path)), *columns)
     assert one("p4_entities", "id", "ontology", "text_spans", "rest") == [
-        ("e", '{"masterformat": "26"}', json.dumps(spans), '{"sheets":"1","extra":null,"ports":"x"}'), ("f", None, None, None)
+        ("e", '{"masterformat":"26"}', json.dumps(spans), '{"sheets":"1","extra":null,"ports":"x"}'), ("f", None, None, None)
     ]
-    assert one("p4_text_spans", "sheet_ord", "view_ord", "item_ord", "sub_ord", "text", "confidence", "rest") == [(0, 0, 0, 0, "TYP.", None, None), (0, 0, 0, 2, "WP", "0.5", '{"bbox":"[1, 2]"}')]
+    assert one("p4_text_spans", "sheet_ord", "view_ord", "item_ord", "sub_ord", "text", "confidence", "rest") == [(0, 0, 0, 0, "TYP.", None, None), (0, 0, 0, 2, "WP", "0.5", '{"bbox":"[1,2]"}')]
     assert one("p4_sets", "schema_version", "rest") == [("0.2.0", '{"new":"[1]"}')]
     assert one("p4_sheets", "rest") == [('{"scale":"2"}',)] and one("p4_views", "id", "rest") == [("v", None)]
 
@@ -103,9 +105,62 @@ def test_very_deep_and_very_long():
     for _ in range(600):
         inner["x"] = {"issues": [{"n": 1}]}
         inner = inner["x"]
-    assert sum(path == "issue:" for path, _, _ in N.triples(deep)) == 600
+    assert sum(path == "issue:" for path, _, _ in N.triples(json.dumps(deep))) == 600
     wide = {"schema_version": "0.1.0", "sheets": [{"id": "x" * 50} for _ in range(20_000)]}
-    assert sum(path == "sheet:" for path, _, _ in N.triples(wide)) == 20_000
+    assert sum(path == "sheet:" for path, _, _ in N.triples(json.dumps(wide))) == 20_000
+    # Deeper than the library's reader goes.
+    levels = 60_000
+    text = '{"schema_version": "0.1.0", "metadata": ' + '{"x": [' * levels + '{"issues": {"n": [1, "a", null, true, -2.5]}}' + "]}" * levels + "}"
+    assert [v for path, _, v in N.triples(text) if path == "issue:n"] == ['[1,"a",null,true,-2.5]']
+    assert not list(N.triples(text[:-1])) and not list(N.triples(text + "}"))
+
+
+def test_encoded_any_number_of_times_and_repeated_members():
+    payload = json.dumps(RECORD)
+    want = list(N.triples(payload))
+    for _ in range(7):
+        payload = json.dumps(payload)
+    assert list(N.triples(payload)) == want
+    sheets = RECORD["sheets"]
+    for _ in range(6):
+        sheets = json.dumps(sheets)
+    assert list(N.triples(json.dumps({**RECORD, "sheets": sheets}))) == want
+    # Of members of one name the last holds, wherever the version is.
+    text = '{"sheets": [{"id": "no"}], "id": "a", "sheets": [{"id": "b", "views": [7], "id": "c"}], "id": "d", "schema_version": "9.0.0", "schema_version": "0.2.0"}'
+    assert [(p, v) for p, _, v in N.triples(text)] == [("set:", None), ("sheet:", None), ("sheet:id", "c"), ("set:id", "d"), ("set:schema_version", "0.2.0")]
+
+
+def test_half_a_character_and_odd_items(spark):
+    text = '{"schema_version": 0.2, "name": "\\ud800x", "sheets": [[{"id": 1}], "[]", "{", 3, {"views": "\\"{}\\""}]}'
+    assert rows(N.flat_table(N.flatten(frame(spark, [text])), "set", ["name"])) == [(0, "?x")]
+    assert [r[1:] for r in rows(N.flatten(frame(spark, [text])).drop("fields")) if r[0] == "view"] == []
+    assert rows(N.positions(frame(spark, [text]), kinds=("view", "sheet")).drop("set_key")) == [("sheet", 4, -1, -1, -1), ("view", 4, 0, -1, -1)]
+
+
+def test_a_large_record_is_never_held_whole():
+    """A large record is read in memory that its objects would exceed many times."""
+    code = """
+import resource, sys
+from quillspan.operators.nested import pivoted
+sheet = '{"id": "s", "views": [{"entities": [' + ",".join('{"id": "e%d", "attributes": {"ports": [{"name": "p"}]}}' % k for k in range(400)) + ']}]}'
+text = '{"schema_version": "0.2.0", "sheets": [' + ",".join([sheet] * 3_000) + "]}"
+assert len(text) > 60_000_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(1 for _, row in zip(range(200_000), pivoted(text)))
+grown = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024
+print(n, grown)
+assert n == 200_000 and grown < 50
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300)
+
+
+def test_all_tables_in_one_reading(spark, tmp_path):
+    df = frame(spark, [json.dumps(RECORD), None, json.dumps({**RECORD, "id": "b"})])
+    N.write_tables(df, str(tmp_path / "tables"))
+    back = spark.read.parquet(str(tmp_path / "tables"))
+    flat = N.flatten(df, with_origin=True)
+    for kind in N.TABLES:
+        assert rows(N.flat_table(back, kind, ["id", "name"])) == rows(N.flat_table(flat, kind, ["id", "name"]))
 
 
 leaves = st.none() | st.booleans() | st.integers(-9, 9) | st.text(max_size=4)
@@ -117,7 +172,7 @@ records = st.fixed_dictionaries({"schema_version": st.just("0.2.0"), "sheets": s
 @given(records)
 def test_triples_round_trip(record):
     """Every entity is met once, at its place, with its label."""
-    got = {ords: value for path, ords, value in N.triples(record) if path == "entity:label"}
+    got = {ords: value for path, ords, value in N.triples(json.dumps(record)) if path == "entity:label"}
     want = {
         (i, j, k, -1): e["label"] if isinstance(e["label"], str) or e["label"] is None else json.dumps(e["label"])
         for i, s in enumerate(record["sheets"]) if s for j, v in enumerate(s["views"]) for k, e in enumerate(v["entities"]) if e
