@@ -15,15 +15,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and forget its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; a local one is made only where that is unset
-    (tests). Partitions and their order are kept, so ``spark_partition_id`` is stable on the result.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset it is an error on a cluster, whose
+    executors would each write to a disk of their own; a session that is one local process makes a folder. Partitions
+    and their order are kept, so ``spark_partition_id`` is stable on the result.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspan-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _LOCAL.setdefault("folder", tempfile.mkdtemp(prefix="quillspan-"))
+    if not _has_folder(spark):
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def _has_folder(spark: SparkSession) -> bool:
+    """Sessions on a server have the folder of its configuration."""
+    return not hasattr(spark, "_sc") or spark.sparkContext.getCheckpointDir() is not None
+
+
 def partitions(spark: SparkSession, rows: int, rows_each: int) -> int:
     """The session's shuffle partitions, or more if ``rows`` would make them larger than ``rows_each``."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_each))

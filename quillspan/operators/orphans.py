@@ -14,8 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.common import cut, partitions
@@ -23,7 +22,8 @@ from quillspan.common import cut, partitions
 ROWS_PER_RANGE = 400_000
 _LIVE, _DELETED, _REFERENCE = 0, 1, 2
 _MIN, _MAX = -(2**63), 2**63 - 1
-_PROBED = "code int, row_key binary, t bigint, reason string"
+_BLOCK = 1000  # ranges whose ends are handed on together
+_PROBED = "range int, code int, row_key binary, t bigint, reason string, key binary, asks_before boolean, asks_after boolean"
 
 
 @dataclass(frozen=True)
@@ -96,25 +96,18 @@ def orphans(parents: DataFrame, references: list[References], *, key: str, scope
     spark = parents.sparkSession
     total = parents.count() + sum(r.frame.count() * len(r.fields) for r in references)  # from the files' footers
     n = partitions(spark, total, ROWS_PER_RANGE)
-    ranged = cut(rows.repartitionByRange(n, "key", "t", "kind").sortWithinPartitions("key", "t", "kind"))
-    # One row per range: bounded by the number of ranges, never by the rows.
-    edges = (
-        ranged.where(F.col("kind") < _REFERENCE)
-        .groupBy(F.spark_partition_id().alias("range"))
-        .agg(F.min("key").alias("first"), F.max(F.struct("key", "t", "kind")).alias("last"))
-        .collect()
-    )
-    before, after = _neighbours({e["range"]: (bytes(e["first"]), bytes(e["last"]["key"]), e["last"]["kind"]) for e in edges}, ranged.rdd.getNumPartitions())
-    shared = spark.sparkContext.broadcast((before, after))
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, after = shared.value
-        k = TaskContext.get().partitionId()
-        yield from _probe(batches, before[k], after[k])
-
-    found = ranged.mapInArrow(probe, _PROBED)
+    # The row's key is part of the range, so that references of one key and time may be in several ranges as well.
+    order = ("key", "t", "kind", "row_key")
+    ranged = cut(rows.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("range", F.spark_partition_id())
+    found = ranged.mapInArrow(_probe, _PROBED)
+    # What a range can't know alone: whether its first key has parents in earlier ranges, its last one in later ones.
+    asked = found.where("asks_before OR asks_after").join(_neighbours(ranged), "range", "left")
+    before, after = F.coalesce(F.col("asks_before") & (F.col("key") == F.col("key_before")), F.lit(False)), F.coalesce(F.col("asks_after") & (F.col("key") == F.col("key_after")), F.lit(False))
+    gone = F.col("kind_before") == _DELETED
+    reason = F.when(before & gone, "deleted").when(before, None).when(after | (F.col("reason") == "late"), "late").otherwise("missing")
+    every = found.where("NOT (asks_before OR asks_after)").select("code", "row_key", "t", "reason").unionByName(asked.select("code", "row_key", "t", reason.alias("reason"))).where("reason IS NOT NULL")
     pairs = F.array(*[F.struct(F.lit(t).alias("table_name"), F.lit(f).alias("ref_field")) for t, f in names])
-    return found.select(
+    return every.select(
         F.element_at(pairs, F.col("code") + 1).alias("n"),
         _unpacked(F.col("row_key")).alias("row_key"),
         "reason",
@@ -122,21 +115,28 @@ def orphans(parents: DataFrame, references: list[References], *, key: str, scope
     ).select("n.table_name", "row_key", "n.ref_field", "reason", "at").distinct()
 
 
-def _neighbours(edges: dict[int, tuple[bytes, bytes, int]], n: int):
-    """Of each range the key and kind of the last parent in earlier ranges, and the key of the first in later ones."""
-    before, after = [None] * n, [None] * n
-    last = None
-    for k in range(n):
-        before[k] = last
-        last = edges[k][1:] if k in edges else last
-    first = None
-    for k in reversed(range(n)):
-        after[k] = first
-        first = edges[k][0] if k in edges else first
-    return before, after
+def _neighbours(ranged: DataFrame) -> DataFrame:
+    """Of each range the key and kind of the last parent in earlier ranges, and the key of the first in later ones.
 
-
-def _probe(batches: Iterator[pa.RecordBatch], before, after) -> Iterator[pa.RecordBatch]:
+    One row a range, so one for ``ROWS_PER_RANGE`` rows. They are handed on within blocks of ranges and between blocks,
+    so no task has more of them than a block, or there are blocks.
+    """
+    parent = F.col("kind") < _REFERENCE
+    edges = ranged.groupBy("range").agg(F.min(F.when(parent, F.col("key"))).alias("first"), F.max(F.when(parent, F.struct("key", "t", "kind"))).alias("last"))
+    edges = edges.withColumn("block", F.floor(F.col("range") / _BLOCK))
+    known = lambda f, c, w: f(c, ignorenulls=True).over(w)
+    earlier = lambda *by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    later = lambda *by, at: Window.partitionBy(*by).orderBy(at).rowsBetween(1, Window.unboundedFollowing)
+    own = edges.select("range", "block", known(F.last, "last", earlier("block", at="range")).alias("b"), known(F.first, "first", later("block", at="range")).alias("a"))
+    whole = edges.groupBy("block").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    one = F.lit(1)
+    between = whole.select("block", known(F.last, "last", earlier(one, at="block")).alias("bb"), known(F.first, "first", later(one, at="block")).alias("aa"))
+    both = own.join(between, "block").select("range", F.coalesce("b", "bb").alias("b"), F.coalesce("a", "aa").alias("key_after"))
+    return both.select("range", F.col("b.key").alias("key_before"), F.col("b.kind").alias("kind_before"), "key_after")
+
+
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """References of one range without a live parent in it, by binary search in its sorted parents."""
     got = list(batches)
     if not got:
         return
@@ -163,17 +163,15 @@ def _probe(batches: Iterator[pa.RecordBatch], before, after) -> Iterator[pa.Reco
     earlier, later = same(at - 1), same(at)
     deleted = np.zeros(len(refs), dtype=bool)
     deleted[earlier] = kind[parents[at[earlier] - 1]] == _DELETED
-    if before is not None and before[0] == keys[0].as_py():
-        carried = (ref_group == 0) & ~earlier
-        earlier |= carried
-        deleted[carried] = before[1] == _DELETED
-    if after is not None and after == keys[len(keys) - 1].as_py():
-        later |= ref_group == group[-1]
-    reason = np.where(earlier, 2, np.where(later, 1, 0))
+    asks_before = ~earlier & (ref_group == 0)
+    asks_after = ~earlier & ~later & (ref_group == group[-1])
     orphan = ~earlier | deleted
+    reason = np.where(earlier, 2, np.where(later, 1, 0))[orphan]
     out = rows.take(pa.array(refs[orphan]))
-    names = pa.array(["missing", "late", "deleted"]).take(pa.array(reason[orphan]))
-    table = pa.table({"code": out.column("code"), "row_key": out.column("row_key"), "t": out.column("t"), "reason": names})
+    names = pa.array(["missing", "late", "deleted"]).take(pa.array(reason))
+    asks = asks_before[orphan], asks_after[orphan]
+    key = pc.if_else(pa.array(asks[0] | asks[1]), out.column("key"), None)  # the others need it no more
+    table = pa.table({"range": out.column("range"), "code": out.column("code"), "row_key": out.column("row_key"), "t": out.column("t"), "reason": names, "key": key, "asks_before": pa.array(asks[0]), "asks_after": pa.array(asks[1])})
     yield from table.to_batches(max_chunksize=50_000)
 
 
