@@ -2,20 +2,21 @@
 
 Candidates are found by a grid join: an overlap of at least ``t`` bounds how far apart centres are and how much sides
 differ, so only boxes of like size in neighbouring cells meet. Pairs that nothing else competes with are matches as
-they are; only contested boxes, usually few, go through the ordered kernel.
+they are; only contested boxes, usually few, go through the ordered kernel, a cluster of contending boxes at a time.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspan.common import cut
 from quillspan.functions.geometry import center, height, iou, width
+from quillspan.operators.clusters import clusters
 
 
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], threshold: float) -> DataFrame:
@@ -63,37 +64,38 @@ def greedy_match(left: DataFrame, right: DataFrame, keys: list[str], *, threshol
     ``ord`` is the order in the document and unique within the keys; equal confidences keep it.
     """
     pairs = cut(overlapping(left, right, keys, threshold))  # read more than once below
-    count = lambda side: F.count("*").over(Window.partitionBy(*keys, side))
-    rated = pairs.withColumn("n_left_ord", count("left_ord")).withColumn("n_right_ord", count("right_ord"))
-    alone = (F.col("n_left_ord") == 1) & (F.col("n_right_ord") == 1)
+    left_node, right_node = F.xxhash64(*keys, F.lit("left"), "left_ord"), F.xxhash64(*keys, F.lit("right"), "right_ord")
+    one = lambda side, n: pairs.groupBy(*keys, side).agg(F.count("*").alias(n))
+    rated = cut(pairs.join(one("left_ord", "n_left"), [*keys, "left_ord"]).join(one("right_ord", "n_right"), [*keys, "right_ord"]))
+    alone = (F.col("n_left") == 1) & (F.col("n_right") == 1)
     columns = [*keys, "left_ord", "left_conf", "right_ord", "iou"]
-    contested = rated.where(~alone).select(*columns)
-    solved = contested.groupBy(*keys).applyInArrow(lambda rows: _greedy(rows, by_confidence=by_confidence, latest=latest), contested.schema)
+    # Choices depend on each other within a cluster of contending boxes only. Nodes are hashes: should two be equal,
+    # two clusters are one group, and the keys still part them.
+    contested = rated.where(~alone).select(*columns, left_node.alias("a"), right_node.alias("b"))
+    of = clusters(contested).select(F.col("node").alias("a"), F.col("label").alias("cluster"))
+    grouped = contested.join(of, "a").drop("a", "b")
+    solved = grouped.groupBy(*keys, "cluster").applyInArrow(lambda rows: _greedy(rows.drop(["cluster"]), by_confidence=by_confidence, latest=latest), rated.select(*columns).schema)
     return rated.where(alone).select(*columns).unionByName(solved).drop("left_conf")
 
 
-def _suppress(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    rows = rows.sort_values(["conf", "ord"], ascending=[False, True], kind="stable").reset_index(drop=True)
-    kept: list[int] = []
-    tiles: dict[int, list] = {}
-    x0, y0, x1, y1 = (rows[c].to_numpy() for c in ("x_min", "y_min", "x_max", "y_max"))
-    size = (x1 - x0).clip(min=0) * (y1 - y0).clip(min=0)
-    for k in range(len(rows)):
-        twin = None
-        for j in kept:
-            both = max(min(x1[j], x1[k]) - max(x0[j], x0[k]), 0.0) * max(min(y1[j], y1[k]) - max(y0[j], y0[k]), 0.0)
-            union = size[j] + size[k] - both
-            if (both / union if union > 0 else 0.0) >= threshold:
-                twin = j
-                break
-        if twin is None:
-            kept.append(k)
-            tiles[k] = [rows["tile_id"].iloc[k]]
-        elif rows["tile_id"].iloc[k] not in tiles[twin]:
-            tiles[twin].append(rows["tile_id"].iloc[k])
-    out = rows.iloc[kept].copy()
-    out["tiles"] = [tiles[k] for k in kept]
-    return out.drop(columns="tile_id")
+def _suppress(rows: pa.Table, threshold: float) -> pa.Table:
+    """Of one cluster, best first: what is left takes along whatever overlaps it, as long as anything is left."""
+    rows = rows.sort_by([("conf", "descending"), ("ord", "ascending"), ("tile_id", "ascending")])
+    box = np.column_stack([rows.column(c).to_numpy() for c in ("x_min", "y_min", "x_max", "y_max")])
+    size = np.prod((box[:, 2:] - box[:, :2]).clip(min=0), axis=1)
+    tile_ids = rows.column("tile_id").to_pylist()
+    left = np.arange(len(box))
+    kept, tiles = [], []
+    while len(left):
+        best = left[0]
+        both = np.prod((np.minimum(box[left, 2:], box[best, 2:]) - np.maximum(box[left, :2], box[best, :2])).clip(min=0), axis=1)
+        union = size[left] + size[best] - both
+        taken = np.divide(both, union, out=np.zeros(len(left)), where=union > 0) >= threshold
+        taken[0] = True
+        kept.append(best)
+        tiles.append(list(dict.fromkeys(tile_ids[k] for k in left[taken])))
+        left = left[~taken]
+    return rows.drop(["tile_id"]).take(pa.array(kept)).append_column("tiles", pa.array(tiles, pa.list_(pa.string())))
 
 
 def suppress(detections: DataFrame, keys: list[str], *, threshold: float = 0.5) -> DataFrame:
@@ -101,13 +103,18 @@ def suppress(detections: DataFrame, keys: list[str], *, threshold: float = 0.5)
     seen in, in order. Columns besides the keys: ord, conf, tile_id, x_min, y_min, x_max, y_max."""
     rows = cut(detections.select(*keys, "ord", "conf", "tile_id", "x_min", "y_min", "x_max", "y_max"))
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "tile_id")
-    # A detection that overlaps no other one is kept as it is; the kernel sees the others only.
+    # A detection that overlaps no other one is kept as it is; the kernel sees clusters of overlapping ones only.
     boxes = rows.select(*keys, F.struct("conf", "ord", "tile_id").alias("ord"), "conf", F.struct("x_min", "y_min", "x_max", "y_max").alias("box"))
-    twins = overlapping(boxes, boxes, keys, threshold).where("left_ord <> right_ord").select(*keys, F.explode(F.array("left_ord", "right_ord")).alias("r")).distinct()
-    twins = cut(twins.select(*keys, "r.conf", "r.ord", "r.tile_id"))
-    same = [*keys, "conf", "ord", "tile_id"]
-    crowded = rows.join(twins, same, "left_semi").groupBy(*keys).applyInPandas(lambda r: _suppress(r, threshold), kinds + ", tiles array<string>")
-    return rows.join(twins, same, "left_anti").withColumn("tiles", F.array("tile_id")).drop("tile_id").unionByName(crowded)
+    node = lambda c: F.xxhash64(*keys, f"{c}.conf", f"{c}.ord", f"{c}.tile_id")
+    of = clusters(overlapping(boxes, boxes, keys, threshold).where("left_ord < right_ord").select(node("left_ord").alias("a"), node("right_ord").alias("b"))).withColumnRenamed("label", "cluster")
+    named = rows.withColumn("node", F.xxhash64(*keys, "conf", "ord", "tile_id")).join(of, "node", "left").drop("node")
+    crowded = named.where("cluster IS NOT NULL").groupBy(*keys, "cluster").applyInArrow(lambda r: _suppress(r.drop(["cluster"]), threshold), kinds + ", tiles array<string>")
+    return named.where("cluster IS NULL").drop("cluster").withColumn("tiles", F.array("tile_id")).drop("tile_id").unionByName(crowded)
+
+
+def suppress_plain(detections: DataFrame, keys: list[str], *, threshold: float = 0.5) -> DataFrame:
+    """The other suppression: what overlaps a better one is dropped, and tiles with it."""
+    return suppress(detections, keys, threshold=threshold).drop("tiles")
 
 
 def edge_key(source: Column, target: Column, directed: Column) -> Column:

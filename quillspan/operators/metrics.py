@@ -6,20 +6,20 @@ Frames of entities have ``doc``, ``ord`` (order in the document), ``label`` (tha
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.common import cut
+from quillspan.common import cut, partitions
 from quillspan.functions.geometry import area, bounds, shoelace
 from quillspan.functions.text import norm_text
 from quillspan.operators.grounding import matched_label
 from quillspan.operators.matching import edge_key, greedy_match
 
-_BUCKETS = 1024
+ROWS_PER_RANGE = 200_000
 
 
 def judged(entities: DataFrame, *, doc: str = "set_id", order: str = "doc_ord") -> DataFrame:
@@ -46,18 +46,21 @@ def scored(pred: DataFrame, true: DataFrame, *, threshold: float = 0.5) -> DataF
 def average_precision(rows: DataFrame, n_true: DataFrame) -> DataFrame:
     """(label, ap): all-point average precision of scored predictions (label, doc, ord, conf, hit).
 
-    Running counts and the precision envelope are windows in buckets of confidence, joined by windows over the
-    buckets, so no label is ever sorted in one piece. Equal confidences keep the order of documents.
+    Predictions are range-partitioned by label, confidence and document, so equal confidences, in whatever number,
+    keep the order of documents and still are in many ranges. Running counts and the precision envelope are windows
+    within ranges, joined by windows over the ranges of a label (a row each).
     """
-    rows = rows.withColumn("bucket", F.floor(F.col("conf") * _BUCKETS))
+    rows = cut(rows)
+    n = partitions(rows.sparkSession, rows.count(), ROWS_PER_RANGE)
+    rows = cut(rows.repartitionByRange(n, "label", F.desc("conf"), "doc", "ord")).withColumn("bucket", F.spark_partition_id())
     sums = rows.groupBy("label", "bucket").agg(F.sum("hit").alias("h"), F.count("*").alias("k"))
-    over = Window.partitionBy("label").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("label").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("label", "bucket", F.coalesce(F.sum("h").over(over), F.lit(0)).alias("h0"), F.coalesce(F.sum("k").over(over), F.lit(0)).alias("k0"))
     within = Window.partitionBy("label", "bucket").orderBy(F.desc("conf"), "doc", "ord")
     run = within.rowsBetween(Window.unboundedPreceding, 0)
     curve = rows.join(starts, ["label", "bucket"]).withColumn("p", (F.col("h0") + F.sum("hit").over(run)) / (F.col("k0") + F.row_number().over(within)))
     best = curve.groupBy("label", "bucket").agg(F.max("p").alias("best"))
-    later = Window.partitionBy("label").orderBy(F.desc("bucket")).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("label").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
     best = best.select("label", "bucket", F.max("best").over(later).alias("later"))
     envelope = F.greatest(F.max("p").over(within.rowsBetween(0, Window.unboundedFollowing)), "later")
     gained = curve.join(best, ["label", "bucket"]).withColumn("env", envelope).where("hit = 1").groupBy("label").agg(F.sum("env").alias("s"))
@@ -67,7 +70,7 @@ def average_precision(rows: DataFrame, n_true: DataFrame) -> DataFrame:
 
 def per_class_ap(pred: DataFrame, true: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     n_true = detections(true).groupBy("label").agg(F.count("*").alias("n_true"))
-    return average_precision(cut(scored(pred, true, threshold=threshold)), n_true)
+    return average_precision(scored(pred, true, threshold=threshold), n_true)
 
 
 def detection_map(pred: DataFrame, true: DataFrame, *, threshold: float = 0.5) -> DataFrame:
@@ -117,10 +120,26 @@ def _first_fit(rows: pd.DataFrame, tolerance: float) -> pd.DataFrame:
 
 
 def dimension_accuracy(pred: DataFrame, true: DataFrame, *, tolerance_mm: float = 1.0) -> DataFrame:
-    """Share of true dimensions that find, in document order, a predicted one of their document not taken before."""
+    """Share of true dimensions that find, in document order, a predicted one of their document not taken before.
+
+    Values further apart than the tolerance never meet, so a document's values fall into clusters with gaps between
+    them. Where all values of a cluster are within the tolerance of each other any pairing is as good, and counts are
+    enough, however often a value occurs; only the others are paired in order.
+    """
     side = lambda df, s: df.select("doc", "ord", F.posexplode("dimensions.value_mm").alias("k", "value")).where("value IS NOT NULL").withColumn("side", F.lit(s))
-    each = side(true, 0).unionByName(side(pred, 1)).groupBy("doc").applyInPandas(lambda r: _first_fit(r, tolerance_mm), "hits long, total long")
-    return _one(each, F.sum("hits") / F.nullif(F.sum("total"), F.lit(0)))
+    # Neighbouring cells, and those one further for values at the very limit, are of one cluster.
+    rows = cut(side(true, 0).unionByName(side(pred, 1)).withColumn("cell", F.floor(F.col("value") / max(tolerance_mm, 1e-9))))
+    cells = rows.groupBy("doc", "cell").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count_if(F.col("side") == 0).alias("t"), F.count_if(F.col("side") == 1).alias("p"))
+    order = Window.partitionBy("doc").orderBy("cell")
+    apart = F.coalesce(F.col("cell") - F.lag("cell").over(order) > 2, F.lit(False)).cast("int")
+    cells = cut(cells.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(order)))
+    sums = cells.groupBy("doc", "cluster").agg(F.sum("t").alias("t"), F.sum("p").alias("p"), (F.max("high") - F.min("low")).alias("spread"))
+    counted = sums.where(F.col("spread") <= tolerance_mm).select(F.least("t", "p").alias("hits"), F.col("t").alias("total"))
+    wide = sums.where(F.col("spread") > tolerance_mm)
+    alone = wide.where("t = 0 OR p = 0").select(F.lit(0).cast("long").alias("hits"), F.col("t").alias("total"))
+    paired = rows.join(cells.select("doc", "cell", "cluster").join(wide.where("t > 0 AND p > 0"), ["doc", "cluster"]).select("doc", "cell", "cluster"), ["doc", "cell"])
+    each = paired.groupBy("doc", "cluster").applyInPandas(lambda r: _first_fit(r, tolerance_mm), "hits long, total long")
+    return _one(counted.unionByName(alone).unionByName(each), F.sum("hits") / F.nullif(F.sum("total"), F.lit(0)))
 
 
 def panoptic_quality(pred: DataFrame, true: DataFrame, *, threshold: float = 0.5) -> DataFrame:
@@ -138,38 +157,29 @@ def wall_polygons(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("geometry.type") == "polygon") & ((F.col("entity_type") == "wall") | F.lower("label").rlike("wall|room"))).select("doc", "geometry.points")
 
 
-def _fill(points: list, size: int) -> Iterator[tuple[int, int, int]]:
-    """(row, first, last) of the pixels whose centres are inside a polygon, by the half-open crossing rule."""
-    p = np.array([(q["x"], q["y"]) for q in points], dtype=float) * size
-    if len(p) < 3:
-        return
-    x1, y1 = p.T
-    x2, y2 = np.roll(p, -1, axis=0).T
-    for row in range(max(0, int(np.floor(y1.min()))), min(size - 1, int(np.ceil(y1.max()))) + 1):
-        c = row + 0.5
-        cross = ((y1 <= c) & (c < y2)) | ((y2 <= c) & (c < y1))
-        xs = np.sort(x1[cross] + (c - y1[cross]) * (x2[cross] - x1[cross]) / (y2[cross] - y1[cross]))
-        for a, b in zip(xs[::2], xs[1::2]):
-            first, last = max(0, int(np.ceil(a - 0.5))), min(size - 1, int(np.floor(b - 0.5)))
-            if last >= first:
-                yield row, first, last
-
-
 def _raster(polygons: DataFrame, size: int) -> DataFrame:
-    """(doc, row, word, bits): 64 pixels a word; the union of a document's polygons is an aggregate of bits."""
+    """(doc, row, word, bits) of the pixels whose centres are inside a polygon, 64 of them a word.
 
-    def words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for doc, points in zip(part["doc"], part["points"]):
-                for row, first, last in _fill(points, size):
-                    for word in range(first // 64, last // 64 + 1):
-                        low, high = max(first - 64 * word, 0), min(last - 64 * word, 63)
-                        bits = ((1 << (high - low + 1)) - 1) << low
-                        out.append((doc, row, word, bits - (1 << 64) if bits >> 63 else bits))
-            yield pd.DataFrame(out, columns=["doc", "row", "word", "bits"])
-
-    return polygons.mapInPandas(words, "doc string, row int, word int, bits bigint").groupBy("doc", "row", "word").agg(F.bit_or("bits").alias("bits"))
+    Every edge gives the places where it crosses the rows' centre lines (its upper end included, its lower one not);
+    a polygon's places of a row, in order, are where its spans begin and end. The union of all is an aggregate of bits.
+    """
+    at = lambda p, axis: p[axis] * size
+    after = F.concat(F.slice("points", 2, F.size("points")), F.slice("points", 1, 1))
+    ends = F.explode(F.arrays_zip(F.col("points").alias("p"), after.alias("q")))
+    edges = polygons.where(F.size("points") >= 3).withColumn("polygon", F.monotonically_increasing_id()).select("doc", "polygon", ends.alias("e"))
+    p, q = F.col("e.p"), F.col("e.q")
+    edges = edges.select("doc", "polygon", at(p, "x").alias("x1"), at(p, "y").alias("y1"), at(q, "x").alias("x2"), at(q, "y").alias("y2"))
+    first = F.greatest(F.ceil(F.least("y1", "y2") - 0.5), F.lit(0)).cast("int")
+    last = F.least(F.ceil(F.greatest("y1", "y2") - 0.5) - 1, F.lit(size - 1)).cast("int")
+    crossed = edges.where(first <= last).withColumn("row", F.explode(F.sequence(first, last)))
+    x = F.col("x1") + (F.col("row") + 0.5 - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    rows = crossed.groupBy("doc", "polygon", "row").agg(F.array_sort(F.collect_list(x)).alias("xs"))
+    pair = F.explode(F.expr("transform(sequence(0, size(xs) div 2 - 1), k -> struct(xs[2 * k] AS a, xs[2 * k + 1] AS b))"))
+    spans = rows.where(F.size("xs") >= 2).select("doc", "row", pair.alias("s"))
+    spans = spans.select("doc", "row", F.greatest(F.ceil(F.col("s.a") - 0.5), F.lit(0)).alias("first"), F.least(F.floor(F.col("s.b") - 0.5), F.lit(size - 1)).alias("last")).where("first <= last")
+    words = spans.withColumn("word", F.explode(F.sequence(F.floor(F.col("first") / 64), F.floor(F.col("last") / 64))))
+    bits = F.expr("shiftleft(-1L, CAST(greatest(first - 64 * word, 0) AS INT)) & shiftrightunsigned(-1L, CAST(63 - least(last - 64 * word, 63) AS INT))")
+    return words.groupBy("doc", "row", "word").agg(F.bit_or(bits).alias("bits"))
 
 
 def external_wall_iou(pred: DataFrame, true: DataFrame, *, size: int = 256) -> DataFrame:
@@ -181,35 +191,38 @@ def external_wall_iou(pred: DataFrame, true: DataFrame, *, size: int = 256) -> D
     return _one(docs.join(both, "doc", "left"), F.avg(F.coalesce(F.col("i") / F.nullif(F.col("u"), F.lit(0)), F.lit(0.0))))
 
 
-_SLICE = 4096
-
-
 def vector_points(rows: DataFrame) -> DataFrame:
     points = rows.where(F.col("geometry.type").isin("polyline", "polygon")).select("doc", "ord", F.posexplode("geometry.points").alias("k", "p"))
     return points.select("doc", "ord", "k", "p.x", "p.y")
 
 
-def _nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    total = 0.0
-    if len(a) and len(b):
-        at, to = a[["x", "y"]].to_numpy(), b[["x", "y"]].to_numpy()
-        for s in range(0, len(at), 256):
-            least = np.full(len(at[s : s + 256]), np.inf)
-            for e in range(0, len(to), _SLICE):
-                least = np.minimum(least, np.hypot(at[s : s + 256, None, 0] - to[None, e : e + _SLICE, 0], at[s : s + 256, None, 1] - to[None, e : e + _SLICE, 1]).min(axis=1))
-            total += least.sum()
-    doc = (a if len(a) else b)["doc"].iloc[0]
-    return pd.DataFrame({"doc": [doc], "total": [total], "n": [len(a) if len(b) else 0]})
-
-
 def _one_way(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(doc, mean distance to the nearest point): slices of a document's points against all of the other side's."""
-    count = a.groupBy("doc").agg(F.ceil(F.count("*") / _SLICE).cast("int").alias("slices"))
-    sliced = a.join(count, "doc").select("doc", F.pmod(F.xxhash64("ord", "k"), F.col("slices")).cast("int").alias("slice"), "x", "y")
-    # Aliased: both sides may be the same frame.
-    others = b.join(count, "doc").select(F.col("doc").alias("doc"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), "x", "y")
-    parts = sliced.groupBy("doc", "slice").cogroup(others.groupBy("doc", "slice")).applyInPandas(_nearest, "doc string, total double, n long")
-    return parts.where("n > 0").groupBy("doc").agg((F.sum("total") / F.sum("n")).alias("d"))
+    """(doc, mean distance to the nearest point of the other side), in a grid whose cells grow.
+
+    Cells are at first as large as a document has room for each point. A point looks into its own cell and those around
+    it; what it finds there no farther than a cell is its nearest. The others, few in most drawings, look again in
+    cells four times as large. Equal points are looked up once.
+    """
+    wanted = a.where("x IS NOT NULL AND y IS NOT NULL").groupBy("doc", "x", "y").agg(F.count("*").alias("n"))
+    there = cut(b.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("doc").alias("doc"), F.col("x").alias("bx"), F.col("y").alias("by")).distinct())
+    extent = F.greatest(F.max("bx") - F.min("bx"), F.max("by") - F.min("by"), F.lit(1e-6))
+    sizes = there.groupBy("doc").agg((extent / F.sqrt(F.count("*"))).alias("size"))
+    there = there.join(sizes, "doc")
+    todo = cut(wanted.join(sizes, "doc"))
+    near = F.explode(F.expr("array(-1, 0, 1)"))
+    done, scale = None, 1.0
+    while not todo.isEmpty():
+        cell = lambda c: F.floor(F.col(c) / (F.col("size") * scale))  # noqa: E731, B023
+        around = todo.withColumn("dx", near).withColumn("dy", near).withColumns({"cx": cell("x") + F.col("dx"), "cy": cell("y") + F.col("dy")}).drop("dx", "dy")
+        met = around.join(there.select("doc", "bx", "by", cell("bx").alias("cx"), cell("by").alias("cy")), ["doc", "cx", "cy"], "left")
+        best = cut(met.groupBy("doc", "x", "y", "n", "size").agg(F.min(F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y"))).alias("d")))
+        sure = F.coalesce(F.col("d") <= F.col("size") * scale, F.lit(False))
+        found = best.where(sure).select("doc", "n", "d")
+        done = found if done is None else done.unionByName(found)
+        todo, scale = best.where(~sure).drop("d"), scale * 4
+    if done is None:
+        return todo.select("doc", F.lit(0.0).alias("d"))
+    return done.groupBy("doc").agg((F.sum(F.col("d") * F.col("n")) / F.sum("n")).alias("d"))
 
 
 def chamfer(pred: DataFrame, true: DataFrame) -> DataFrame:
@@ -237,25 +250,11 @@ def match_nodes(pred: DataFrame, true: DataFrame, *, threshold: float = 0.5) ->
     return named.join(t.select("doc", "label", F.col("ord").alias("right_ord"), F.col("entity_id").alias("true_id")), ["doc", "label", "right_ord"]).select("doc", "pred_id", "true_id")
 
 
-def _consume(rows: pd.DataFrame) -> pd.DataFrame:
-    """A true edge is credited once, to the first prediction in document order; directed keys come first."""
-    rows = rows.sort_values("ord", kind="stable")
-    first = rows.iloc[0]
-    free = {("d", 0): first["has_d0"], ("d", 1): first["has_d1"], ("u", 0): first["has_u0"]}
-    hits = []
-    for way in rows["way"]:
-        hit = next((k for k in (("d", way), ("u", 0)) if free[k]), None)
-        if hit:
-            free[hit] = 0
-        hits.append(1 if hit else 0)
-    return rows.assign(hit=hits)[["doc", "ord", "conf", "hit"]]
-
-
 def edge_scores(pred_nodes: DataFrame, pred_edges: DataFrame, true_nodes: DataFrame, true_edges: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """(doc, ord, conf, hit) of predicted edges (doc, ord, source_id, target_id, conf) whose ends are matched first.
 
     A directed true edge is met by the same orientation only, an undirected one by either; each once, in document
-    order. Edges compete only if they have the same two ends, so those are the groups.
+    order (``ord`` is unique in a document).
     """
     names = cut(match_nodes(pred_nodes, true_nodes, threshold=threshold))
     end = lambda side: names.select("doc", F.col("pred_id").alias(f"{side}_id"), F.col("true_id").alias(side))
@@ -267,14 +266,18 @@ def edge_scores(pred_nodes: DataFrame, pred_edges: DataFrame, true_nodes: DataFr
     has = lambda c: F.max(c.cast("int"))
     true = true_edges.groupBy("doc", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).agg(has(key & (way == 0)).alias("has_d0"), has(key & (way == 1)).alias("has_d1"), has(~key).alias("has_u0"))
     met = ends.join(true, ["doc", "a", "b"], "left").fillna(0, ["has_d0", "has_d1", "has_u0"])
-    alone = F.col("has_d0") + F.col("has_d1") + F.col("has_u0") == 0
-    hits = met.where(~alone).groupBy("doc", "a", "b").applyInPandas(_consume, "doc string, ord long, conf double, hit int")
-    return lost.unionByName(met.where(alone).select("doc", "ord", "conf", F.lit(0).alias("hit"))).unionByName(hits)
+    met = cut(met.withColumn("directed", F.when(F.col("way") == 0, F.col("has_d0")).otherwise(F.col("has_d1")) == 1))
+    # The first of an orientation takes the directed edge; of all others the first takes the undirected one.
+    straight = met.where("directed").groupBy("doc", "a", "b", "way").agg(F.min("ord").alias("ord"))
+    rest = met.where("has_u0 = 1").join(straight.select("doc", "ord"), ["doc", "ord"], "left_anti")
+    either = rest.groupBy("doc", "a", "b").agg(F.min("ord").alias("ord"))
+    hits = straight.select("doc", "ord").unionByName(either.select("doc", "ord")).withColumn("hit", F.lit(1))
+    return lost.unionByName(met.join(hits, ["doc", "ord"], "left").select("doc", "ord", "conf", F.coalesce("hit", F.lit(0)).alias("hit")))
 
 
 def graph_edge_ap(pred_nodes: DataFrame, pred_edges: DataFrame, true_nodes: DataFrame, true_edges: DataFrame, *, threshold: float = 0.5) -> DataFrame:
     """Average precision of edges over all documents; equal true edges count once."""
-    rows = cut(edge_scores(pred_nodes, pred_edges, true_nodes, true_edges, threshold=threshold)).withColumn("label", F.lit("edge"))
+    rows = edge_scores(pred_nodes, pred_edges, true_nodes, true_edges, threshold=threshold).withColumn("label", F.lit("edge"))
     n_true = true_edges.select("doc", edge_key(F.col("source_id"), F.col("target_id"), F.col("directed")).alias("k")).distinct().agg(F.count("*").alias("n_true")).withColumn("label", F.lit("edge"))
     return _one(average_precision(rows, n_true), F.max("ap"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.common import table
+from quillspan.common import cut, table
 from quillspan.functions import fixed, geometry
 from quillspan.operators import boards, fewshot, graph, grounding, licensing, metrics, questions, takeoff, tiling
 from quillspan.operators.drawing import current, on_sheets, sheets_of
@@ -491,10 +491,12 @@ def validate_placements(s, d):
 
 def _judged(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Predictions are the surer entities, moved by a part of their confidence; the truth is all entities as they are."""
-    true = metrics.judged(_entities(s, d))
+    columns = ("set_id", "doc_ord", "entity_id", "entity_type", "label", "ifc_class", "geometry", "text_spans", "dimensions", "confidence", "attributes")
+    rows = cut(_entities(s, d).select(*columns))  # both sides are read from it, more than once
+    true = metrics.judged(rows)
     by = (F.col("confidence") - 0.5) / 50
     points = F.transform("geometry.points", lambda p: F.struct((p["x"] + by).alias("x"), (p["y"] + by).alias("y")))
-    pred = _entities(s, d).where("confidence >= 0.3").withColumn("geometry", F.col("geometry").withField("points", points))
+    pred = rows.where("confidence >= 0.3").withColumn("geometry", F.col("geometry").withField("points", points))
     return metrics.judged(pred), true
 
 
