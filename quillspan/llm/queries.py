@@ -132,7 +132,26 @@ _P3 = r"""
         WHERE a.side = 'train' AND b.side = 'eval' AND damerau_levenshtein(a.body, b.body) <= 1)
 """
 
+# Pieces by the farthest boundary in reach, one after the other.
+_P2 = """
+    WITH RECURSIVE sheets AS (SELECT DISTINCT tiling_id, full_width AS w, full_height AS h, tile_size AS t, coalesce(overlap, 0) AS o, x_breaks AS xb, y_breaks AS yb FROM tiled_sheets WHERE tile_size > 0 AND coalesce(overlap, 0) >= 0 AND coalesce(overlap, 0) < tile_size),
+    numbered AS (SELECT *, row_number() OVER () AS request FROM sheets),
+    axes AS (
+      SELECT request, tiling_id, 'x' AS axis, w AS l, t, o, list_concat(list_filter(coalesce(xb, []), lambda v: v > o AND v < w), [w]) AS s FROM numbered WHERE w > 0
+      UNION ALL SELECT request, tiling_id, 'y', h, t, o, list_concat(list_filter(coalesce(yb, []), lambda v: v > o AND v < h), [h]) FROM numbered WHERE h > 0),
+    cuts AS (
+      SELECT request, axis, -1 AS piece, o AS prev, o AS pos, true AS natural FROM axes WHERE l > t
+      UNION ALL SELECT request, axis, piece + 1, pos, coalesce(far, pos + t - o), far IS NOT NULL
+      FROM (SELECT c.*, a.t, a.o, a.l, list_max(list_filter(a.s, lambda v: v > c.pos AND v <= c.pos + a.t - a.o)) AS far FROM cuts c JOIN axes a USING (request, axis) WHERE c.pos < a.l)),
+    pieces AS (
+      SELECT a.*, piece, prev - o AS px_start, pos AS px_end, CASE WHEN pos = l THEN 'end' WHEN natural THEN 'gutter' ELSE 'limit' END AS ends_at FROM cuts JOIN axes a USING (request, axis) WHERE piece >= 0
+      UNION ALL SELECT *, 0, 0, l, 'end' FROM axes WHERE l <= t)
+"""
+
 ORACLE = {
+    "p2_axis_pieces": _P2 + "SELECT DISTINCT tiling_id, axis, l AS length, t AS tile, o AS overlap, piece, px_start, px_end, ends_at FROM pieces WHERE l > t",
+    "p2_pieces": _P2 + """SELECT DISTINCT x.tiling_id, y.piece AS row, x.piece AS col, x.px_start AS px_x, y.px_start AS px_y, x.px_end - x.px_start AS px_w, y.px_end - y.px_start AS px_h
+        FROM pieces x JOIN pieces y USING (request) WHERE x.axis = 'x' AND y.axis = 'y' AND (x.l > x.t OR y.l > y.t)""",
     "p1_found": r"""
         WITH RECURSIVE named AS (
           SELECT DISTINCT ref_id, node FROM (

@@ -36,9 +36,9 @@ def cases(rng, n):
     return out
 
 
-@pytest.mark.parametrize("size", [7, 16, C.RANGE])
+@pytest.mark.parametrize("size", [1, 2, C.RANGE_STEPS, 1000])
 def test_fit_and_pieces(spark, size):
-    items = cases(random.Random(size), 300)
+    items = cases(random.Random(7), 300)
     df = sheets(spark, items + items[:50])
     want, axes = [], {}
     for k, w, h, t, o, xs, ys in items:
@@ -47,9 +47,9 @@ def test_fit_and_pieces(spark, size):
             if length and t and length > t > 0 and 0 <= o < t:
                 want.append((k, axis, "natural" if natural(length, t, o, breaks) else "forced"))
                 axes[k, axis] = (length, t, o, {b for b in breaks or [] if b is not None})
-    assert rows(C.axis_fits(df, range_size=size)) == sorted(want, key=repr)
+    assert rows(C.axis_fits(df, range_steps=size)) == sorted(want, key=repr)
     got = {}
-    for p in C.axis_pieces(df, range_size=size).orderBy("tiling_id", "axis", "piece").collect():
+    for p in C.axis_pieces(df, range_steps=size).orderBy("tiling_id", "axis", "piece").collect():
         got.setdefault((p.tiling_id, p.axis), []).append(p)
     assert set(got) == set(axes)
     for key, pieces in got.items():
@@ -58,6 +58,10 @@ def test_fit_and_pieces(spark, size):
         assert pieces[0].px_start == 0 and pieces[-1].px_end == length
         assert all(a.px_end - b.px_start == overlap for a, b in zip(pieces, pieces[1:]))
         assert all(overlap < p.px_end - p.px_start <= tile for p in pieces)
+        # Each piece goes on to the farthest boundary in reach, whatever the ranges are.
+        for p in pieces:
+            reach = [b for b in {*breaks, length} if overlap < b <= length and p.px_start + overlap < b <= p.px_start + tile]
+            assert p.px_end == (max(reach) if reach else p.px_start + tile)
         assert all((p.ends_at == "gutter") == (p.px_end in breaks) for p in pieces[:-1] if p.ends_at == "gutter") and pieces[-1].ends_at == "end"
         assert all(p.px_end - p.px_start == tile for p in pieces if p.ends_at == "limit")
 
@@ -83,6 +87,19 @@ def test_giant_axis(spark):
     """Far more ranges than one: pieces still follow each other without a gap."""
     length, breaks = 2_000_000_000, [k * 7_919_003 for k in range(1, 253)]
     df = sheets(spark, [(1, length, 1, 10_000_000, 1000, breaks, None)])
-    pieces = C.axis_pieces(df, range_size=1 << 26).orderBy("piece").collect()
+    pieces = C.axis_pieces(df, range_steps=6).orderBy("piece").collect()
     assert pieces[-1].px_end == length and all(p.ends_at == "gutter" for p in pieces[:-1])
     assert rows(C.axis_fits(df)) == [(1, "x", "natural")]
+
+
+def test_a_giant_axis_has_no_giant_row(spark):
+    """An axis of many ranges, with a gap of a hundred thousand forced cuts and gutters on either side of it."""
+    breaks = [*range(700, 50_000, 700), *range(90_000_000, 90_050_000, 900)]
+    df = sheets(spark, [(1, 90_100_000, 10, 1000, 100, breaks, None)])
+    axes = C._identified(df, whole=False)
+    ranges = C._ranges(axes, C.RANGE_STEPS)
+    assert ranges.count() > 25 and ranges.selectExpr("max(size(bounds) + size(halo)) AS n").first().n <= 10
+    runs = C._runs(axes, C.RANGE_STEPS)
+    assert runs.where("n > 1000").count() == 1
+    got = C.axis_pieces(df).selectExpr("count(*) AS n", "count(DISTINCT piece) AS k", "max(piece) AS last", "max(px_end - px_start) AS longest", "count_if(ends_at = 'limit') AS forced").first()
+    assert got.n == got.k == got.last + 1 > 99_000 and got.longest == 1000 and got.forced > 99_000
