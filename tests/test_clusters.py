@@ -1,8 +1,11 @@
 import random
 
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillspan.operators.clusters import clusters
+from quillspan.operators.clusters import _joined, clusters
 from tests.conftest import rows
 
 
@@ -40,3 +43,15 @@ def test_edges_over_many_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert clusters(df.where("false")).count() == 0
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abcdefgh"), st.sampled_from("abcdefgh")), max_size=20))
+def test_edges_of_one_partition(edges):
+    batch = pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in edges], pa.string()), "b": pa.array([b for _, b in edges], pa.string())})
+    got = {}
+    for part in _joined(iter([batch])):
+        for node, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            got.setdefault(label, set()).add(node)
+    assert {frozenset(v) for v in got.values()} == naive(edges)
+    assert all(label == min(own) for label, own in got.items())
