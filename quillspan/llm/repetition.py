@@ -1,8 +1,10 @@
 """Repetition inside a single document: rule statistics, scored by an isolation forest.
 
-Rule statistics are the shares of words that lie in a run of 1, 3 and 6 words that also starts at an earlier word
-of the document. An isolation forest is fitted on a bounded sample of rows labelled by the six-word rule; short
-mean path lengths single out anomalous documents. One pass over all whole texts computes the statistics and scores.
+Rule statistics are the shares of words that lie in a run of one word and of three words that also starts at an
+earlier word of the document. An isolation forest is fitted on them, on a bounded sample of rows labelled by the rule
+of six words; short mean path lengths single out anomalous documents. One pass over all whole texts computes the
+statistics, scores them, and counts runs of six words in the documents that the forest singles out, and in no others
+unless all are asked for.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUNS = (1, 3, 6)
+RUNS = (1, 3)  # cheap statistics that the forest knows
+RULE = 6  # words in a run of the rule itself
 SHARE = 0.3
 SAMPLE_ROWS = 4000
 _BYTES_AT_ONCE = 4_000_000
@@ -31,7 +34,7 @@ def _mixed(a: np.ndarray) -> np.ndarray:
 
 
 def _grams(words: np.ndarray, docs: np.ndarray) -> Iterator[np.ndarray]:
-    """64-bit hashes of the runs of 1, 3 and 6 words from each position, different in each document."""
+    """64-bit hashes of the runs of 1 and 3 words from each position, and of ``RULE`` words, different in each document."""
     odd = np.uint64(0x9E3779B97F4A7C15)
     one = _mixed((words + (docs.astype(np.uint64) << np.uint64(32))) * odd)
     yield one
@@ -90,22 +93,32 @@ def _exact(words: list[int], run: int) -> float:
     return sum(covered) / len(words)
 
 
-def statistics(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word counts and the share for each of ``RUNS``; a null or wordless text has 0 words and shares of 0.
+class Statistics:
+    """Word counts and the share for each of ``RUNS``; a null or wordless text has 0 words and shares of 0."""
 
-    Runs are compared by 64-bit hashes, which may only raise a share: documents at ``SHARE`` or more in the longest
-    run are counted again word by word.
-    """
-    n = len(texts)
-    words, docs = _words(texts)
-    count = np.bincount(docs, minlength=n)
-    shares = np.zeros((n, len(RUNS)))
-    for j, (run, gram) in enumerate(zip(RUNS, _grams(words, docs))):
-        shares[:, j] = _repeated(gram, docs, run, n) / np.maximum(count, 1)
-    begin = np.concatenate(([0], np.cumsum(count)))
-    for d in np.nonzero(shares[:, -1] >= SHARE)[0]:
-        shares[d, -1] = _exact(words[begin[d] : begin[d + 1]].tolist(), RUNS[-1])
-    return count, shares
+    def __init__(self, texts: pa.Array) -> None:
+        self.n = len(texts)
+        self.words, self.docs = _words(texts)
+        self.count = np.bincount(self.docs, minlength=self.n)
+        self.shares = np.zeros((self.n, len(RUNS)))
+        for j, (run, gram) in enumerate(zip(RUNS, _grams(self.words, self.docs))):
+            self.shares[:, j] = _repeated(gram, self.docs, run, self.n) / np.maximum(self.count, 1)
+
+    def rule(self, chosen: np.ndarray) -> np.ndarray:
+        """The share of words in repeated runs of ``RULE`` words of the chosen texts; NaN for the others.
+
+        Runs are compared by 64-bit hashes, which may only raise a share: texts at ``SHARE`` or more are counted again
+        word by word.
+        """
+        out = np.full(self.n, np.nan)
+        inside = chosen[self.docs]
+        words, docs = self.words[inside], self.docs[inside]
+        *_, gram = _grams(words, docs)
+        out[chosen] = (_repeated(gram, docs, RULE, self.n) / np.maximum(self.count, 1))[chosen]
+        begin = np.concatenate(([0], np.cumsum(self.count)))
+        for d in np.nonzero(out >= SHARE)[0]:
+            out[d] = _exact(self.words[begin[d] : begin[d + 1]].tolist(), RULE)
+        return out
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -205,51 +218,57 @@ class Forest:
         self.threshold = float(scores[order][int(np.argmax(f1))])
 
 
-def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _pieces(batch):
-            count, shares = statistics(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count), *map(pa.array, shares.T)], names=["doc_id", "n_words", "share_1", "share_3", "share_6"])
+            stats = Statistics(part.column(1))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, stats.shares.T), pa.array(stats.rule(np.ones(stats.n, dtype=bool)))], names=["share_1", "share_3", "share_6"])
 
 
 def fit(docs: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Forest | None:
     """The forest for ``docs`` (doc_id, text); None for an empty table.
 
     Fitted and calibrated on about ``sample_rows`` rows chosen by a hash of their id (twice that at most), which are
-    labelled by the six-word rule; the sample's size does not grow with the table.
+    labelled by the rule of six words; the sample's size does not grow with the table. The forest may be kept and
+    given to ``repetition`` again, which then reads the texts once.
     """
     share = sample_rows / max(docs.count(), 1)
     chosen = docs if share >= 1 else docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = np.array([[r.share_1, r.share_3, r.share_6] for r in chosen.mapInArrow(_stats, _STATS).limit(2 * sample_rows).collect()])
+    rows = np.array([[r.share_1, r.share_3, r.share_6] for r in chosen.mapInArrow(_sampled, "share_1 double, share_3 double, share_6 double").limit(2 * sample_rows).collect()])
     if not len(rows):
         return None
-    forest = Forest.fit(rows)
-    forest.calibrate(rows, rows[:, -1] >= SHARE)
+    forest = Forest.fit(rows[:, :2])
+    forest.calibrate(rows[:, :2], rows[:, 2] >= SHARE)
     return forest
 
 
-def repetition(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def repetition(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, forest: Forest | None = None, exact: bool = True) -> DataFrame:
     """One row per document: doc_id, n_words, share_1, share_3, share_6, score, anomalous, candidate.
 
-    ``share_6`` is the repeated share of the whole text. ``anomalous``: the score reaches the threshold calibrated on
-    labelled rows. ``candidate``: the score reaches the bound that no document with a repeated share of ``SHARE`` or
-    more can miss. Null, empty and wordless texts have shares of 0. Equal rows stay rows of their own; an empty
-    table gives an empty result; columns besides the two named are ignored.
+    ``share_6`` is the repeated share of the whole text: of every document, or without ``exact`` of candidates only and
+    null for the others. ``candidate``: the score reaches the bound that no document with a repeated share of
+    ``SHARE`` or more can miss, for its shares of shorter runs are as large. ``anomalous``: the score reaches the
+    threshold calibrated on labelled rows. Null, empty and wordless texts have shares of 0. Equal rows stay rows of
+    their own; an empty table gives an empty result; columns besides the two named are ignored.
     """
     rows = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    forest = fit(rows, sample_rows=sample_rows)
+    forest = forest or fit(rows, sample_rows=sample_rows)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _stats(batches):
-            score = forest.score(np.column_stack([batch.column(k).to_numpy() for k in (2, 3, 4)])) if forest else np.zeros(len(batch))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(score), pa.array(score >= (forest.threshold if forest else 1)), pa.array(score >= (forest.bound if forest else 1))],
-                names=[*batch.schema.names, "score", "anomalous", "candidate"],
-            )
+        for batch in batches:
+            for part in _pieces(batch):
+                stats = Statistics(part.column(1))
+                score = forest.score(stats.shares) if forest else np.zeros(stats.n)
+                candidate = score >= (forest.bound if forest else 1)
+                rule = stats.rule(np.ones(stats.n, dtype=bool) if exact else candidate)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(stats.count), *map(pa.array, stats.shares.T), pa.array(rule, from_pandas=True), pa.array(score), pa.array(score >= (forest.threshold if forest else 1)), pa.array(candidate)],
+                    names=["doc_id", "n_words", "share_1", "share_3", "share_6", "score", "anomalous", "candidate"],
+                )
 
     return rows.mapInArrow(judge, _STATS + ", score double, anomalous boolean, candidate boolean")
 
 
 def repetitive(docs: DataFrame, **options) -> DataFrame:
-    """Ids of the documents whose repeated share is ``SHARE`` or more: the forest's candidates, checked exactly."""
-    return repetition(docs, **options).where(F.col("candidate") & (F.col("share_6") >= SHARE)).select("doc_id").distinct()
+    """Ids of the documents whose repeated share is ``SHARE`` or more: the forest chooses, the rule counts what it chose."""
+    return repetition(docs, exact=False, **options).where(F.col("candidate") & (F.col("share_6") >= SHARE)).select("doc_id").distinct()

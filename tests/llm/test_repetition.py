@@ -25,10 +25,15 @@ texts = st.lists(st.none() | st.lists(st.sampled_from(["a", "B", "cé", "1", "-"
 @settings(max_examples=150, deadline=None)
 @given(texts)
 def test_shares(batch):
-    count, shares = R.statistics(pa.array(batch, pa.string()))
+    stats = R.Statistics(pa.array(batch, pa.string()))
+    chosen = np.arange(len(batch)) % 3 != 1
+    rule, some = stats.rule(np.ones(len(batch), dtype=bool)), stats.rule(chosen)
     for k, t in enumerate(batch):
-        assert [count[k]] * 3 == [brute(t, r)[0] for r in R.RUNS]
-        assert np.allclose(shares[k], [brute(t, r)[1] for r in R.RUNS])
+        assert [stats.count[k]] * 3 == [brute(t, r)[0] for r in (*R.RUNS, R.RULE)]
+        assert np.allclose([*stats.shares[k], rule[k]], [brute(t, r)[1] for r in (*R.RUNS, R.RULE)])
+        assert some[k] == rule[k] if chosen[k] else np.isnan(some[k])
+        # What bounds the forest's candidates: shares of shorter runs are as large.
+        assert stats.shares[k, 0] >= stats.shares[k, 1] >= rule[k]
 
 
 def documents(rng, n):
@@ -50,6 +55,9 @@ def test_no_repetitive_document_is_missed(spark):
     assert rows(R.repetitive(df, sample_rows=20)) == sorted(want, key=repr)
     assert rows(R.repetitive(df.unionByName(df))) == sorted(want, key=repr)
     scored = R.repetition(df)
+    kept = R.repetition(df, forest=R.fit(df), exact=False)
+    assert rows(kept.where("candidate AND share_6 >= 0.3"), "doc_id") == sorted(want, key=repr)
+    assert 0 < kept.where("share_6 IS NULL AND NOT candidate").count() < len(batch) and kept.where("share_6 IS NULL AND candidate").count() == 0
     assert scored.count() == len(batch) and scored.where("doc_id <= 2 AND (n_words > 0 OR share_6 > 0)").count() == 0
 
 
