@@ -49,8 +49,8 @@ def mixture(sizes: DataFrame, targets: list[tuple[str, float, int]], *, block_to
     ``sizes`` has doc_id, source (canonical) and n_tokens, ``targets`` source, share and the most uses of a document.
     The mixture is the largest in which every source reaches its share: sources that are too small for it are
     repeated, none above its cap. Within a source documents come in the order of a hash of their ids, all of them
-    once before any again; the use that crosses the end of a source's part is the last, so a share is met to less
-    than one document. Sources without targets and documents without tokens stay out; a target source without
+    once before any again; the use that crosses the end of a source's part is taken if most of it is within, so a share
+    is met to half a document. Sources without targets and documents without tokens stay out; a target source without
     tokens, or of share 0, gets nothing, and the others keep their proportions. Equal rows are documents of their own.
     """
     spark = sizes.sparkSession
@@ -81,7 +81,8 @@ def mixture(sizes: DataFrame, targets: list[tuple[str, float, int]], *, block_to
     within = F.coalesce(F.sum("n_tokens").over(before("source", "bucket").orderBy(F.expr("h & 18014398509481983"), "doc_id")), F.lit(0))
     placed = rows.withColumn("within", within).join(F.broadcast(starts), ["source", "bucket"])  # at most _BUCKETS rows a target
     placed = placed.join(dims, "source").withColumn("begin", F.col("start") + F.col("within"))
-    uses = F.least(F.ceil((F.col("quota") - F.col("begin")) / F.col("available")), F.col("cap").cast("bigint"))
+    # The use that crosses the quota is taken if that is nearer to it than leaving it out.
+    uses = F.least(F.ceil((F.col("quota") - F.col("begin") - F.col("n_tokens") / 2) / F.col("available")), F.col("cap").cast("bigint"))
     each = placed.where(uses > 0).withColumn("use", F.explode(F.sequence(F.lit(0), (uses - 1).cast("int"))))
     each = each.withColumn("offset", F.col("begin") + F.col("use") * F.col("available"))
     block = F.floor(F.col("offset") / block_tokens)
@@ -102,3 +103,23 @@ def shares(mixed: DataFrame, targets: list[tuple[str, float, int]]) -> DataFrame
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     all_tokens = F.sum("n_tokens").over(Window.partitionBy(F.lit(1)))  # a row per target
     return dims.join(got, "source", "left").select("source", "target_share", F.coalesce(F.col("n_tokens") / all_tokens, F.lit(0.0)).alias("share"), zero("n_tokens"), zero("n_uses"), zero("n_docs"), zero("max_uses"), "max_repeats")
+
+
+def violations(mixed: DataFrame, sizes: DataFrame, targets: list[tuple[str, float, int]]) -> DataFrame:
+    """(source, item, problem) of uses that break a rule; ``item`` is the document, or null for a whole source.
+
+    No document is used more often than its cap, none again before all of its source were used once, and a source's
+    share is off by no more than half the largest documents, its own and in proportion those of all, and a quantum.
+    """
+    spark = mixed.sparkSession
+    dims = F.broadcast(spark.createDataFrame([(s, float(w or 0), cap) for s, w, cap in targets], "source string, target_share double, cap int"))  # a row per target
+    by_doc = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.countDistinct("use").alias("turns"), F.max("use").alias("last"), F.sum("n_tokens").alias("n"))
+    by_doc = by_doc.join(dims, "source")
+    largest = sizes.groupBy("source").agg(F.max("n_tokens").alias("largest"))
+    over = by_doc.where("uses > cap OR uses <> turns OR uses <> last + 1").select("source", F.col("doc_id").alias("item"), F.lit("uses").alias("problem"))
+    totals = by_doc.groupBy("source", "target_share").agg(F.sum("n").alias("n"), F.min("uses").alias("least"), F.max("uses").alias("most")).join(largest, "source")
+    whole = F.sum("n").over(Window.partitionBy(F.lit(1)))  # a row per target
+    share = totals.withColumns({"off": F.abs(F.col("n") / whole - F.col("target_share") / F.sum("target_share").over(Window.partitionBy(F.lit(1)))), "slack": (F.col("largest") + F.col("target_share") * F.sum("largest").over(Window.partitionBy(F.lit(1)))) / 2 / whole + 1 / QUANTA})
+    far = share.where("off > slack").select("source", F.lit(None).cast("bigint").alias("item"), F.lit("share").alias("problem"))
+    early = share.where("most - least > 1").select("source", F.lit(None).cast("bigint").alias("item"), F.lit("order").alias("problem"))
+    return over.unionByName(far).unionByName(early)

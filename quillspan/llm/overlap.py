@@ -4,7 +4,8 @@ Every file is described by up to three facets: the hash of its content, the addr
 A facet is a block, which must agree exactly, and a body, of which a set of shingles is taken: hash and address are
 one shingle each, names have the letter pairs of their letters. Minwise hashes of the shingles are cut into bands;
 descriptions of one block that share a band's bucket are candidates if one is of the training split and the other of
-an evaluation split. Candidates are verified exactly and only then expanded to files.
+an evaluation split. Candidates are verified by the exact Jaccard similarity that one typo leaves at least, then by the
+typo itself, and only then expanded to files.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspan.common import cut
+
 BANDS, ROWS = 40, 2
 #: Names with fewer letters have too few shingles for bands to be sure; every form with one letter left out is a bucket.
 SHORT = 12
@@ -118,10 +121,12 @@ def _overlaps(members: DataFrame) -> DataFrame:
     left = banded.where("in_train").select("block", "bucket", F.col("body").alias("train_body"))
     right = banded.where("in_eval").select("block", "bucket", F.col("body").alias("eval_body"))
     near = left.join(right, ["block", "bucket"]).where("train_body <> eval_body").select("block", "train_body", "eval_body").distinct()
-    a, b = shingles(F.col("train_body")), shingles(F.col("eval_body"))
-    near = near.where(_one_typo(F.col("train_body"), F.col("eval_body"))).select(
-        F.lit("name").alias("facet"), "block", "train_body", "eval_body", (F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).alias("jaccard")
-    )
+    # One typo changes at most ``CHANGED`` pairs on either side, which bounds the similarity of two names from below.
+    near = near.withColumns({"a": shingles(F.col("train_body")), "b": shingles(F.col("eval_body"))})
+    most = F.greatest(F.size("a"), F.size("b"))
+    near = near.withColumn("jaccard", F.size(F.array_intersect("a", "b")) / F.size(F.array_union("a", "b")))
+    near = near.where((F.col("jaccard") >= (most - CHANGED) / (most + CHANGED)) & _one_typo(F.col("train_body"), F.col("eval_body")))
+    near = near.select(F.lit("name").alias("facet"), "block", "train_body", "eval_body", "jaccard")
     return same.unionByName(near)
 
 
@@ -132,7 +137,7 @@ def file_pairs(files: DataFrame, refs: DataFrame) -> DataFrame:
     addresses and names without a project code say nothing. Rows delivered twice count once; empty tables give an
     empty result. Pairs follow from the two files alone.
     """
-    members = _members(files, refs)
+    members = cut(_members(files, refs))
     train = members.where("split = 'train'").select("facet", "block", F.col("body").alias("train_body"), F.col("file_id").alias("t"))
     held = members.where("split <> 'train'").select("facet", "block", F.col("body").alias("eval_body"), F.col("file_id").alias("e"))
     pairs = _overlaps(members).join(train, ["facet", "block", "train_body"]).join(held, ["facet", "block", "eval_body"])
@@ -146,8 +151,9 @@ def report(files: DataFrame, refs: DataFrame) -> DataFrame:
     Counts files, not pairs, so groups of copies of any size cost no more than their rows. ``source`` is that of the
     file's ref, spelled canonically; null if it has none.
     """
-    members = _members(files, refs).where("split <> 'train'")
-    hit = _overlaps(_members(files, refs)).select("facet", "block", F.col("eval_body").alias("body")).distinct()
+    every = cut(_members(files, refs))
+    members = every.where("split <> 'train'")
+    hit = _overlaps(every).select("facet", "block", F.col("eval_body").alias("body")).distinct()
     by = lambda f: F.max(F.col("facet") == f).alias(f)
     flags = members.join(hit, ["facet", "block", "body"], "left_semi").groupBy("file_id").agg(by("hash"), by("url"), by("name"))
     source = refs.groupBy("ref_id").agg(F.min(F.nullif(canonical_source(F.col("source")), F.lit(""))).alias("source"))

@@ -21,7 +21,7 @@ from quillspan.common import cut, partitions
 NODES = 400  # search nodes a filling; the best filling met so far is taken beyond
 WIDTH = 8  # sizes tried a node while a filling is searched; the branching below tries all
 STEPS = 1_000_000  # sizes looked at while branching over fillings; the best packing met so far is taken beyond
-_SALTS = 32
+_RANKED = 500_000  # items of one size that are ranked together
 _BLOCK = 1 << 20  # ranks of one size that are placed together
 _SLOTS = "pack string, cost bigint, first_rank bigint, places bigint, container bigint, uses int, position int, containers bigint, least bigint"
 
@@ -282,7 +282,9 @@ def pack(sizes: DataFrame, packs: list[tuple[str, int, int]]) -> tuple[DataFrame
     if not packs:
         none = spark.createDataFrame([], _SLOTS)
         return sizes.select(F.lit("").alias("pack_name"), F.lit(0).cast("bigint").alias("container"), F.lit(0).alias("position"), "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("token_start"), "n_tokens").where("false"), none
-    items = _items(sizes, packs).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(_SALTS)).cast("int"))
+    # As many salts as items of one size may need, for all may have one size.
+    salts = partitions(spark, sizes.count(), _RANKED)
+    items = _items(sizes, packs).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     salted = cut(items.groupBy("pack", "room", "cost", "salt").agg(F.count("*").alias("n")))  # at most capacity x salts rows a pack
     slots = cut(salted.groupBy("pack", "room", "cost").agg(F.sum("n").alias("n")).groupBy("pack").applyInPandas(_solve, _SLOTS))
     before = Window.partitionBy("pack", "cost").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -290,7 +292,7 @@ def pack(sizes: DataFrame, packs: list[tuple[str, int, int]]) -> tuple[DataFrame
     rank = F.row_number().over(Window.partitionBy("pack", "cost", "salt").orderBy("doc_id", "piece")) - 1
     ranked = items.withColumn("rank", rank.cast("bigint")).join(offsets, ["pack", "cost", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("offset"))
-    n = partitions(spark, salted.agg(F.sum("n")).first()[0] or 0, 500_000)
+    n = partitions(spark, salted.agg(F.sum("n")).first()[0] or 0, _RANKED)
     bucket = lambda block: F.pmod(F.xxhash64("pack", "cost", block), F.lit(n)).alias("bucket")
     left = ranked.select(bucket(F.floor(F.col("rank") / _BLOCK)), "pack", "cost", "rank", "doc_id", "piece", "token_start", "size")
     reached = F.sequence(F.floor(F.col("first_rank") / _BLOCK), F.floor((F.col("first_rank") + F.col("places") - 1) / _BLOCK))
@@ -313,3 +315,23 @@ def pack_report(sizes: DataFrame, packs: list[tuple[str, int, int]]) -> DataFram
         F.col("pack").alias("pack_name"), "capacity_tokens", "n_containers", "least_containers", "n_items", "n_tokens", "n_divided",
         (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill"),
     )
+
+
+def violations(placed: DataFrame, sizes: DataFrame, packs: list[tuple[str, int, int]]) -> DataFrame:
+    """(pack_name, item, problem) of places that break a rule; ``item`` is the container or the document.
+
+    A container holds no more than its capacity with separators between its items, its positions follow each other;
+    every document is there with all its tokens in each pack, and divided only if it is above the capacity. ``sizes``
+    has one row a document here.
+    """
+    spark = placed.sparkSession
+    dims = F.broadcast(spark.createDataFrame([(p, c, s or 0) for p, c, s in packs if c and c > 0], "pack_name string, capacity bigint, separator bigint"))  # a row per pack
+    row = lambda item, problem: ["pack_name", F.col(item).alias("item"), F.lit(problem).alias("problem")]
+    held = placed.groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"), F.max("position").alias("last"), F.countDistinct("position").alias("places")).join(dims, "pack_name")
+    over = held.where(F.col("n") + F.col("separator") * (F.col("k") - 1) > F.col("capacity")).select(*row("container", "above capacity"))
+    gaps = held.where((F.col("k") != F.col("last") + 1) | (F.col("k") != F.col("places"))).select(*row("container", "positions"))
+    got = placed.groupBy("pack_name", "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
+    both = sizes.join(dims).join(got, ["pack_name", "doc_id"], "left")
+    lost = both.where(F.col("n").isNull() | (F.col("n") != F.col("n_tokens"))).select(*row("doc_id", "tokens"))
+    cut_up = both.where((F.col("k") > 1) & (F.col("n_tokens") <= F.col("capacity"))).select(*row("doc_id", "divided"))
+    return over.unionByName(gaps).unionByName(lost).unionByName(cut_up)

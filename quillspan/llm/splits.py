@@ -1,26 +1,23 @@
 """Splits that keep related records together.
 
 Records and what they name (sources, projects) form a graph whose components must not be parted. Components are found
-by breadth-first search from many seeds at once over hash-partitioned adjacency lists. Where the regions of two seeds
-meet, their labels collide; the collisions are the edges of a smaller graph, which is merged at once if it is small
-and searched in the same way if it is not. Components are then dealt to the splits in the order of a hash.
+by breadth-first search from many seeds at once over hash-partitioned adjacency lists; the lists of nodes of high
+degree are in several parts. Where the regions of two seeds meet, their labels collide; the collisions are the edges of
+a smaller graph, whose labels are merged. Components are then dealt to the splits in the order of a hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.common import cut
+from quillspan.operators.clusters import clusters
 
 SEED_ONE_IN = 4
 ROUNDS = 3
-SMALL_EDGES = 200_000
+HEAVY = 100_000  # neighbours in one part of an adjacency list
 LARGE_SHARE = 0.001  # components above this share of the records, at most 1 / LARGE_SHARE of them, are dealt one by one
-_BUCKETS = 256
 
 # Words that name no source, without blanks, hyphens and underscores.
 NO_SOURCE = ("unknown", "unk", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "notapplicable", "notavailable", "notknown", "notspecified", "unspecified", "undefined", "tbd", "tba")
@@ -48,59 +45,39 @@ def named_by(refs: DataFrame, pages: DataFrame) -> DataFrame:
     return own.unionByName(paged.join(known, "ref_id", "left_semi")).where("node IS NOT NULL AND ref_id IS NOT NULL").distinct()
 
 
-def _merge_small(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over a small graph: (node, label) with the least label of each component."""
-    parent: dict[str, str] = {}
-
-    def find(x: str) -> str:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for part in rows:
-        for a, b in zip(part["a"], part["b"]):
-            a, b = sorted((find(a), find(b)))
-            parent[b] = a
-    yield pd.DataFrame([(x, find(x)) for x in parent], columns=["node", "label"])
-
-
-def components(edges: DataFrame, *, small_edges: int = SMALL_EDGES, rounds: int = ROUNDS, level: int = 0) -> DataFrame:
+def components(edges: DataFrame, *, rounds: int = ROUNDS, heavy: int = HEAVY) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b strings): equal labels are one component.
 
     Nodes chosen by a hash, one in ``SEED_ONE_IN``, are seeds and expand for ``rounds`` rounds; a node takes the least
-    label that reaches it first, and nodes not reached keep themselves. Each level leaves a fraction of the nodes, so
-    the number of levels grows with the logarithm of the graph's size, not with its diameter.
+    label that reaches it first, and nodes not reached keep themselves. Labels that collide are merged in the smaller
+    graph of collisions, in the same way whatever its size.
     """
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    adjacency = cut(both.repartition("a"))
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    seed = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(SEED_ONE_IN)) == 0
-    frontier = cut(nodes.where(seed).select("node", F.col("node").alias("label")))
-    labels = frontier
-    for _ in range(rounds):
-        reached = adjacency.join(frontier, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
-        frontier = cut(reached.join(labels.select("node"), "node", "left_anti"))
-        labels = labels.unionByName(frontier)
-        if frontier.isEmpty():
-            break
-    labels = cut(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    apart = edges.where("a <> b")
+    both = cut(apart.select("a", "b").unionByName(apart.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    nodes = both.groupBy("a").agg(F.count("*").alias("n")).select(F.col("a").alias("node"), F.ceil(F.col("n") / heavy).cast("int").alias("parts"))
+    nodes = cut(nodes.unionByName(edges.where("a = b").select(F.col("a").alias("node"), F.lit(1).alias("parts"))).groupBy("node").agg(F.max("parts").alias("parts")))
+    # One row for each ``heavy`` neighbours and more, so few that the engine may broadcast them if it finds them small.
+    crowded = nodes.where("parts > 1").select(F.col("node").alias("a"), "parts")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    adjacency = cut(both.join(crowded, "a", "left").select("a", part, "b").repartition("a", "part"))
+    labels = cut(nodes.where(F.pmod(F.xxhash64("node"), F.lit(SEED_ONE_IN)) == 0).select("node", "parts", F.col("node").alias("label"), F.lit(0).alias("round")))
+    for k in range(rounds):
+        frontier = labels.where(F.col("round") == k).select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "label")
+        reached = adjacency.join(frontier, ["a", "part"]).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("label"))
+        fresh = reached.join(labels.select("node"), "node", "left_anti").join(nodes, "node").select("node", "parts", "label", F.lit(k + 1).alias("round"))
+        labels = cut(labels.unionByName(fresh))
+    labels = cut(nodes.select("node").join(labels.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     left, right = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
-    collided = adjacency.join(left, "a").join(right, "b").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    collided = cut(collided)
-    n = collided.count()
-    if not n:
-        return labels
-    merged = collided.coalesce(1).mapInPandas(_merge_small, "node string, label string") if n <= small_edges else components(collided, small_edges=small_edges, rounds=rounds, level=level + 1)
-    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("root"))
+    collided = both.where("a < b").join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    merged = clusters(collided).select(F.col("node").alias("label"), F.col("label").alias("root"))
     return cut(labels.join(merged, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
 
 
 def grouped(refs: DataFrame, pages: DataFrame, **options) -> DataFrame:
     """(ref_id, component, code): every ref once, with its component and the least project code in it (or null).
 
-    A ref that names nothing is a component of its own. Nulls: a null ref_id names no record and is left out; null,
+    A component is called by its least code, without one by its least source (``s:``), and a ref that names nothing is
+    a component of its own (``r:`` and its id). Nulls: a null ref_id names no record and is left out; null,
     blank and meaningless sources and projects without a code name nothing. Pages of refs that aren't there count for
     nothing. Rows delivered twice count once.
     """
@@ -108,10 +85,10 @@ def grouped(refs: DataFrame, pages: DataFrame, **options) -> DataFrame:
     hub = names.groupBy("ref_id").agg(F.min("node").alias("hub"))
     edges = names.join(hub, "ref_id").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     labels = components(cut(edges), **options)
-    code = labels.groupBy("label").agg(F.min(F.when(F.col("node").startswith("p:"), F.substring("node", 3, 8))).alias("code"))
+    code = labels.groupBy("label").agg(F.min(F.when(F.col("node").startswith("p:"), F.substring("node", 3, 8))).alias("code"), F.min("node").alias("least"))
     of = hub.join(labels, F.col("hub") == F.col("node")).select("ref_id", "label")
     known = refs.where("ref_id IS NOT NULL").select("ref_id").distinct()
-    return known.join(of, "ref_id", "left").join(code, "label", "left").select("ref_id", F.coalesce("label", F.concat(F.lit("r:"), F.col("ref_id").cast("string"))).alias("component"), "code")
+    return known.join(of, "ref_id", "left").join(code, "label", "left").select("ref_id", F.coalesce("code", "least", F.concat(F.lit("r:"), F.col("ref_id").cast("string"))).alias("component"), "code")
 
 
 def related(refs: DataFrame, pages: DataFrame, **options) -> DataFrame:
@@ -124,13 +101,14 @@ def related(refs: DataFrame, pages: DataFrame, **options) -> DataFrame:
 def split(rows: DataFrame, shares: list[tuple[str, float]], *, seed: int = 0) -> DataFrame:
     """(ref_id, component, split_name) for ``rows`` (ref_id, component): whole components, at the given shares of rows.
 
-    Components above ``LARGE_SHARE`` of all rows go, largest first, where most is missing; the others follow in the
-    order of a hash of their label and fill what is still missing. Shares are met to about one small component each,
-    unless a component is larger than a split. Null and non-positive shares get nothing; shares need not add up to 1.
+    Components are dealt in the order of a hash of their names. Those above ``LARGE_SHARE`` of all rows are measured
+    against what each split still lacks and go where most is missing; the others, in the same order, fill what is left
+    missing after that. Shares are met to about one small component each, unless a component is larger than a split.
+    Null and non-positive shares get nothing; shares need not add up to 1.
     """
     spark = rows.sparkSession
-    shares = [(s, w) for s, w in shares if s is not None and w is not None and w > 0]
-    sizes = cut(rows.groupBy("component").agg(F.count("*").alias("n")))
+    shares = sorted(((s, float(w)) for s, w in shares if s is not None and w is not None and w > 0), key=lambda x: (-x[1], x[0]))
+    sizes = cut(rows.groupBy("component").agg(F.count("*").alias("n")).withColumn("h", F.sha1(F.concat(F.lit(f"{seed}:"), "component"))))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     if not shares or not total:
         return rows.select("ref_id", "component", F.lit(None).cast("string").alias("split_name"))
@@ -138,15 +116,14 @@ def split(rows: DataFrame, shares: list[tuple[str, float]], *, seed: int = 0) ->
     missing = {s: w / whole * total for s, w in shares}
     large = sizes.where(F.col("n") > LARGE_SHARE * total)
     chosen = []  # at most 1 / LARGE_SHARE rows, whatever the data's size
-    for r in sorted(large.collect(), key=lambda r: (-r.n, r.component)):
+    for r in sorted(large.collect(), key=lambda r: (r.h, r.component)):
         to = max(missing, key=lambda s: missing[s])
         missing[to] -= r.n
         chosen.append((r.component, to))
     dealt = F.broadcast(spark.createDataFrame(chosen, "component string, split_name string"))
-    h = F.xxhash64("component", F.lit(seed))
-    small = sizes.where(F.col("n") <= LARGE_SHARE * total).select("component", "n", h.alias("h"), F.pmod(h, F.lit(_BUCKETS)).alias("bucket"))
+    small = sizes.where(F.col("n") <= LARGE_SHARE * total).select("component", "n", "h", F.substring("h", 1, 3).alias("bucket"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    sums = small.groupBy("bucket").agg(F.sum("n").alias("s"))  # _BUCKETS rows
+    sums = small.groupBy("bucket").agg(F.sum("n").alias("s"))  # 4096 rows
     starts = sums.select("bucket", F.coalesce(F.sum("s").over(before(Window.partitionBy(F.lit(1)).orderBy("bucket"))), F.lit(0)).alias("start"))
     at = F.col("start") + F.coalesce(F.sum("n").over(before(Window.partitionBy("bucket").orderBy("h", "component"))), F.lit(0)) + F.col("n") / 2
     left = float(small.agg(F.sum("n")).first()[0] or 0)
