@@ -5,6 +5,9 @@ Models are frames: devices (model_id, device_id, label, x, y, room), circuits an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,31 +46,37 @@ def scenes(spark: SparkSession, n: int, *, seed: int = 0, rooms: int = 4, lights
     return each.select(model.alias("model_id"), F.concat(model, F.lit("-d"), F.col("room").cast("string"), F.lit("-"), F.col("k").cast("string")).alias("device_id"), "d.label", "d.x", "d.y", "room")
 
 
+_PLACED = "model_id string, device_id string, number int, position int"
+
+
 def circuits(devices: DataFrame, *, phases: int = 2, budget_va: int = BUDGET_VA, most: int = MOST_DEVICES) -> DataFrame:
     """(model_id, device_id, number, position, phase): receptacles, then lights, from left to right, onto circuits.
 
-    A new circuit begins where the budget or the number of devices would be exceeded. Where one begins depends on
-    where the last one did, so a model's pool is folded in order; models are independent and small.
+    A new circuit begins where the budget or the number of devices would be exceeded, and with the first light. Where
+    one begins depends on where the last one did, so a model's devices pass one task in order; they are sorted before
+    that and none is kept, however many there are.
     """
     pool = F.when(F.col("label").isin(*RECEPTACLES), 0).when(F.col("label").isin(*LIGHTS), 1)
-    rows = devices.withColumn("pool", pool).where("pool IS NOT NULL")
-    lists = rows.groupBy("model_id", "pool").agg(F.array_sort(F.collect_list(F.struct("x", "y", "device_id", load_va(F.col("label")).alias("va")))).alias("items"))
-    none = F.array().cast("array<struct<device_id:string,circuit:int,position:int>>")
-    start = F.struct(F.lit(0).alias("circuit"), F.lit(0).alias("va"), F.lit(0).alias("n"), none.alias("out"))
-
-    def step(s: Column, d: Column) -> Column:
-        full = (s["n"] > 0) & ((s["va"] + d["va"] > budget_va) | (s["n"] >= most))
-        circuit, n = s["circuit"] + full.cast("int"), F.when(full, 0).otherwise(s["n"])
-        placed = F.struct(d["device_id"].alias("device_id"), circuit.alias("circuit"), n.alias("position"))
-        return F.struct(circuit.alias("circuit"), (F.when(full, 0).otherwise(s["va"]) + d["va"]).alias("va"), (n + 1).alias("n"), F.concat(s["out"], F.array(placed)).alias("out"))
-
-    folded = lists.withColumn("out", F.aggregate("items", start, step, lambda s: s["out"]))
-    used = F.element_at("out", -1)["circuit"] + 1
-    first = F.coalesce(F.sum(used).over(Window.partitionBy("model_id").orderBy("pool").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = folded.withColumn("first", first).select("model_id", "first", F.explode("out").alias("p"))
-    number = (F.col("first") + F.col("p.circuit") + 1).cast("int")
+    rows = devices.select("model_id", pool.alias("pool"), "x", "y", "device_id", load_va(F.col("label")).alias("va")).where("pool IS NOT NULL")
+    ordered = rows.repartition("model_id").sortWithinPartitions("model_id", "pool", "x", "y", "device_id")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pool = number = load = n = None
+        for batch in batches:
+            numbers, positions = [], []
+            for m, p, va in zip(*(batch.column(c).to_pylist() for c in ("model_id", "pool", "va"))):
+                if m != model:
+                    model, pool, number = m, None, 0
+                if p != pool or load + va > budget_va or n >= most:
+                    pool, number, load, n = p, number + 1, 0, 0
+                numbers.append(number)
+                positions.append(n)
+                load, n = load + va, n + 1
+            yield pa.RecordBatch.from_arrays([batch.column("model_id"), batch.column("device_id"), pa.array(numbers, pa.int32()), pa.array(positions, pa.int32())], names=["model_id", "device_id", "number", "position"])
+
     letters = F.array(*[F.lit(x) for x in "ABC"[:phases]])
-    return each.select("model_id", "p.device_id", number.alias("number"), "p.position", F.element_at(letters, ((number - 1) % phases + 1).cast("int")).alias("phase"))
+    placed = ordered.mapInArrow(fold, _PLACED)
+    return placed.withColumn("phase", F.element_at(letters, ((F.col("number") - 1) % phases + 1).cast("int")))
 
 
 def edges(placed: DataFrame) -> DataFrame:

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.common import cut
 from quillspan.functions import fixed
 from quillspan.functions.geometry import bounds, center
 from quillspan.operators.grounding import LABELS, class_index
@@ -25,37 +23,50 @@ def nodes(entities: DataFrame) -> DataFrame:
     return rows.select(*VIEW, F.col("entity_ord").alias("ord"), "entity_id", "label", center(b)["x"].alias("x"), center(b)["y"].alias("y"))
 
 
-_ENDS = ("entity_id", "label", "x", "y")
+def _nearest(rows: DataFrame, k: int) -> DataFrame:
+    """(view, a, b): each node ``a`` with its ``k`` nearest of the view, the earlier ones of equally near.
 
-
-def _neighbours(rows: pa.Table, k: int) -> pa.Table:
-    rows = rows.sort_by("ord")
-    x, y = rows.column("x").to_numpy(), rows.column("y").to_numpy()
-    n = rows.num_rows
-    pairs = []
-    for s in range(0, n, 512):
-        part = np.arange(s, min(s + 512, n))
-        d = np.hypot(x[part, None] - x, y[part, None] - y)
-        d[np.arange(len(part)), part] = np.inf  # a node isn't its own neighbour
-        near = np.argsort(d, axis=1, kind="stable")[:, : min(k, n - 1)]
-        own = np.repeat(part, near.shape[1])
-        pairs.append(np.minimum(own, near.ravel()) * n + np.maximum(own, near.ravel()))
-    for p in np.nonzero(pc.equal(rows.column("label"), fixed.PANEL).to_numpy(zero_copy_only=False))[0]:
-        others = np.delete(np.arange(n), p)
-        pairs.append(np.minimum(others, p) * n + np.maximum(others, p))
-    keys = np.unique(np.concatenate(pairs)) if n > 1 else np.empty(0, dtype=np.int64)
-    left, right = rows.take(pa.array(keys // n)), rows.take(pa.array(keys % n))
-    ends = {f"{c}_{e}": side.column(c) for c in _ENDS for e, side in ((1, left), (2, right))}
-    return pa.table({c: left.column(c) for c in VIEW} | ends)
+    Nodes look into their own and the surrounding cells of a grid. What is no farther than a cell is nearest for sure;
+    nodes with fewer than ``k`` of those, unless all of the view was seen, look again in cells twice as large.
+    """
+    x, y = F.col("node.x"), F.col("node.y")
+    extent = F.greatest(F.max(x) - F.min(x), F.max(y) - F.min(y), F.lit(1e-6))
+    sizes = rows.groupBy(*VIEW).agg(F.count("*").alias("n"), extent.alias("extent"))
+    # A few nodes are one block; of many about k are expected within a cell's length.
+    size = F.col("extent") * F.when(F.col("n") <= 4 * k, 1.0).otherwise(F.sqrt(k / F.col("n")))
+    there = cut(rows.join(sizes.select(*VIEW, "n", size.alias("size")), VIEW))
+    near = F.explode(F.expr("array(-1, 0, 1)"))
+    todo, found, scale = there.select(*VIEW, F.col("node").alias("a"), "n", "size"), None, 1.0
+    while True:
+        cell = lambda c: F.floor(c / (F.col("size") * scale))  # noqa: E731, B023
+        a, b = F.col("a"), F.col("b")
+        around = todo.withColumn("dx", near).withColumn("dy", near).withColumns({"cx": cell(a["x"]) + F.col("dx"), "cy": cell(a["y"]) + F.col("dy")}).drop("dx", "dy")
+        met = around.join(there.select(*VIEW, F.col("node").alias("b"), cell(x).alias("cx"), cell(y).alias("cy")), [*VIEW, "cx", "cy"]).where(a["ord"] != b["ord"])
+        met = met.withColumn("d", F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+        of = Window.partitionBy(*VIEW, "a.ord")
+        rank = F.row_number().over(of.orderBy("d", "b.ord"))
+        sure = (F.count("*").over(of) == F.col("n") - 1) | (F.count_if(F.col("d") <= F.col("size") * scale).over(of) >= k)
+        best = cut(met.withColumns({"rank": rank, "sure": sure}).where((F.col("rank") <= k)).select(*VIEW, "a", "b", "n", "size", "sure"))
+        pairs = best.where("sure").select(*VIEW, "a", "b")
+        found = pairs if found is None else found.unionByName(pairs)
+        # Whoever is not sure, or met nobody at all, looks again; alone in a view there is nobody to meet.
+        done = best.where("sure").select(*VIEW, F.col("a.ord").alias("ord")).distinct()
+        todo = cut(todo.where("n > 1").withColumn("ord", F.col("a.ord")).join(done, [*VIEW, "ord"], "left_anti").select(*VIEW, "a", "n", "size"))
+        if todo.isEmpty():
+            return found
+        scale *= 2
 
 
 def candidates(nodes_: DataFrame, *, k: int = 8) -> DataFrame:
     """Unordered pairs, the earlier node first: each node with its ``k`` nearest of the view, and panels with all.
 
-    A view is a drawing on one sheet; distances are computed in blocks of its nodes.
+    ``ord`` is unique in a view. The pairs of a panel are as many as the view has nodes.
     """
-    schema = "set_id string, sheet_ord int, view_ord int, entity_id_1 string, entity_id_2 string, label_1 string, label_2 string, x_1 double, x_2 double, y_1 double, y_2 double"
-    return nodes_.groupBy(*VIEW).applyInArrow(lambda rows: _neighbours(rows, k), schema)
+    rows = cut(nodes_.select(*VIEW, F.struct("ord", "entity_id", "label", "x", "y").alias("node")))
+    panels = rows.where(F.col("node.label") == fixed.PANEL).select(*VIEW, F.col("node").alias("a"))
+    hubs = panels.join(rows.select(*VIEW, F.col("node").alias("b")), VIEW).where("a.ord <> b.ord").select(*VIEW, "a", "b")
+    pairs = _nearest(rows, k).unionByName(hubs).select(*VIEW, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.select(*VIEW, *[F.col(f"{e}.{c}").alias(f"{c}_{n}") for c in ("entity_id", "label", "x", "y") for e, n in (("a", 1), ("b", 2))])
 
 
 def pair_features(pairs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def _literal(*values: str) -> str:
 
 # Current entities with their box, on their sheets; current connections.
 _BASE = """
-    WITH sheets AS (
+    WITH RECURSIVE sheets AS (
       SELECT set_id, page AS sheet_ord, sheet_no AS sheet_number, lower(d) AS discipline, width_pt, height_pt
       FROM (SELECT set_id, min(ref_id) AS ref_id FROM plan_sets WHERE set_id IS NOT NULL GROUP BY set_id)
       JOIN (SELECT ref_id, page, max(sheet_no) AS sheet_no, max(discipline) AS d, max(width_pt) AS width_pt, max(height_pt) AS height_pt FROM plan_pages GROUP BY ref_id, page) USING (ref_id)),
@@ -252,24 +252,38 @@ def _answer(name: str, text: str, sql: str) -> None:
     QUERIES[name], ORACLE[name] = query, _BASE + sql
 
 
-_answer("answer_count", "How many receptacles are there?", f"SELECT set_id, NULL::VARCHAR AS value_text, count(*) AS value_number, 0 AS ord FROM placed WHERE {_ANSWERED} AND contains(lower(label), 'receptacle') GROUP BY set_id")
-_answer("answer_count_on_sheet", "how many doors on E-404?", f"SELECT set_id, NULL::VARCHAR AS value_text, count(*) AS value_number, 0 AS ord FROM placed WHERE {_ANSWERED} AND contains(lower(label), 'door') AND lower(sheet_number) = 'e-404' GROUP BY set_id")
+_SETS = ", every AS (SELECT set_id FROM ents UNION SELECT set_id FROM sheets)"
+_COUNT_SQL = """, hits AS (SELECT set_id, count(*) AS present, count(*) FILTER (contains(lower(label), '{word}')) AS n FROM placed WHERE {where} GROUP BY set_id)
+    SELECT set_id, NULL::VARCHAR AS value_text, {value} AS value_number, 0::BIGINT AS ord, {note} AS note FROM every LEFT JOIN hits USING (set_id)"""
+_ITEM = "NULL::VARCHAR AS note"
+_answer("answer_count", "How many receptacles are there?", _SETS + _COUNT_SQL.format(word="receptacle", where=_ANSWERED, value="coalesce(n, 0)", note="NULL::VARCHAR"))
+_answer("answer_count_on_sheet", "how many doors on E-404?", _SETS + _COUNT_SQL.format(
+    word="door", where=_ANSWERED + " AND lower(sheet_number) = 'e-404'", value="n", note="CASE WHEN present IS NULL THEN 'There is no sheet E-404, or nothing is counted on it.' END"))
 _answer("answer_list", "list the panels", f""", by_label AS (SELECT set_id, label, count(*) AS n, min(doc_ord) AS first FROM placed WHERE {_ANSWERED} AND contains(lower(label), 'panel') GROUP BY ALL)
-    SELECT set_id, label AS value_text, n AS value_number, row_number() OVER (PARTITION BY set_id ORDER BY n DESC, first) AS ord FROM by_label""")
-_answer("answer_disciplines", "What disciplines are in this set?", "SELECT set_id, discipline AS value_text, NULL::BIGINT AS value_number, row_number() OVER (PARTITION BY set_id ORDER BY discipline) AS ord FROM (SELECT DISTINCT set_id, discipline FROM sheets WHERE discipline IS NOT NULL)")
-_answer("answer_sheets", "list the sheets", "SELECT set_id, sheet_number AS value_text, NULL::BIGINT AS value_number, sheet_ord AS ord FROM sheets")
-_answer("answer_sheet_count", "how many sheets", "SELECT set_id, NULL::VARCHAR AS value_text, count(*) AS value_number, 0 AS ord FROM sheets GROUP BY set_id")
+    SELECT set_id, label AS value_text, n AS value_number, row_number() OVER (PARTITION BY set_id ORDER BY n DESC, first) AS ord, {_ITEM} FROM by_label""")
+_answer("answer_disciplines", "What disciplines are in this set?", f"SELECT set_id, discipline AS value_text, NULL::BIGINT AS value_number, row_number() OVER (PARTITION BY set_id ORDER BY discipline) AS ord, {_ITEM} FROM (SELECT DISTINCT set_id, discipline FROM sheets WHERE discipline IS NOT NULL)")
+_answer("answer_sheets", "list the sheets", f"SELECT set_id, sheet_number AS value_text, NULL::BIGINT AS value_number, sheet_ord AS ord, {_ITEM} FROM sheets")
+_answer("answer_sheet_count", "how many sheets", _SETS + f"SELECT set_id, NULL::VARCHAR AS value_text, count(sheet_ord) AS value_number, 0 AS ord, {_ITEM} FROM every LEFT JOIN sheets USING (set_id) GROUP BY set_id")
+_answer("answer_unknown", "what is the weather", _SETS + f"SELECT set_id, NULL::VARCHAR AS value_text, NULL::BIGINT AS value_number, 0 AS ord, '{questions.HELP}' AS note FROM every")
+
+
+@_query(f"SELECT set_id, sheet_number, entity_id FROM placed WHERE {_ANSWERED} AND contains(lower(label), 'receptacle')")
+def answer_evidence(s, d):
+    return questions.answer_evidence(_rows(s, d), "How many receptacles are there?")
 
 
 @_query(f""", counted AS (SELECT * FROM placed WHERE {_ANSWERED}),
     ends AS (SELECT DISTINCT set_id, sheet_ord, unnest([source_id, target_id]) AS entity_id FROM conns),
     drafts AS (
-      SELECT set_id, sheet_ord, sheet_number, 'review' AS severity, label, count(*) FILTER (confidence < 0.5) AS n_low, count(*) AS n_total, NULL AS entity_id, 0 AS part, label AS name, 0 AS at_
-      FROM counted GROUP BY set_id, sheet_ord, sheet_number, label HAVING n_low > 0
-      UNION ALL SELECT set_id, sheet_ord, sheet_number, 'discrepancy', label, NULL, NULL, entity_id, 1, '', doc_ord FROM counted c
+      SELECT set_id, sheet_ord, sheet_number, discipline, 'review' AS severity, label, count(*) FILTER (confidence < 0.5) AS n_low, count(*) AS n_total, NULL::VARCHAR AS entity_id, 0 AS part, label AS name, 0 AS at_
+      FROM counted GROUP BY set_id, sheet_ord, sheet_number, discipline, label HAVING n_low > 0
+      UNION ALL SELECT set_id, sheet_ord, sheet_number, discipline, 'discrepancy', label, NULL::BIGINT, NULL::BIGINT, entity_id, 1, '', doc_ord FROM counted c
       WHERE lower(label) IN ('panelboard', 'consumer unit') AND EXISTS (FROM ends e WHERE e.set_id = c.set_id AND e.sheet_ord = c.sheet_ord)
         AND NOT EXISTS (FROM ends e WHERE e.set_id = c.set_id AND e.sheet_ord = c.sheet_ord AND e.entity_id = c.entity_id))
-    SELECT set_id, printf('%03d', row_number() OVER (PARTITION BY set_id ORDER BY sheet_ord, part, name, at_)) AS number, sheet_number, severity, label, n_low, n_total, entity_id FROM drafts""")
+    SELECT set_id, printf('%03d', row_number() OVER (PARTITION BY set_id ORDER BY sheet_ord, part, name, at_)) AS number, discipline, sheet_number, severity,
+      CASE severity WHEN 'review' THEN 'Quantity of ' || label || ' to be confirmed on ' || sheet_number ELSE 'Panel without circuits on ' || sheet_number END AS subject,
+      CASE severity WHEN 'review' THEN printf('%d of %d symbols ''%s'' are below a confidence of 50%%: their number and places are to be confirmed.', n_low, n_total, label)
+        ELSE 'No run in the drawing ends at this panel: circuits may be missing or not drawn, so the schedule is to be compared with the plan.' END AS body, label, n_low, n_total, entity_id FROM drafts""")
 def request_drafts(s, d):
     return questions.requests(_rows(s, d), _connections(s, d))
 
@@ -504,7 +518,7 @@ def _metric(name: str, sql: str | None = None) -> None:
     def query(s, d):
         if name == "graph_edge_ap":
             pred, true = _judged(s, d)
-            edges = _connections(s, d).select(F.col("set_id").alias("doc"), "source_id", "target_id", "directed", F.col("confidence").alias("conf"), F.xxhash64("conn_id").alias("ord"))
+            edges = _connections(s, d).select(F.col("set_id").alias("doc"), "source_id", "target_id", "directed", F.col("confidence").alias("conf"), F.conv(F.substring(F.md5("conn_id"), 1, 15), 16, 10).cast("long").alias("ord"))
             return metrics.graph_edge_ap(pred, edges, true, edges).select(_r("value"))
         return metrics.METRICS[name](*_judged(s, d)).select(_r("value"))
 
@@ -515,13 +529,50 @@ def _metric(name: str, sql: str | None = None) -> None:
 
 _COUNTS = f""", t AS (SELECT set_id, {_KEY} AS label, count(*) AS n FROM ents GROUP BY ALL), p AS (SELECT set_id, {_KEY} AS label, count(*) AS m FROM ents WHERE confidence >= 0.3 GROUP BY ALL)
     , counted AS (SELECT n, coalesce(m, 0) AS m FROM t LEFT JOIN p USING (set_id, label))"""
-_metric("detection_map")
+_PAIRED = f""", true_ AS (SELECT set_id, doc_ord, entity_id, {_KEY} AS label, confidence AS conf, x_min AS x0, y_min AS y0, x_max AS x1, y_max AS y1 FROM ents WHERE x_min IS NOT NULL AND {_AREA} > 0),
+    shifted AS (SELECT *, list_transform(pts, lambda p: p.x + (confidence - 0.5) / 50) AS xs, list_transform(pts, lambda p: p.y + (confidence - 0.5) / 50) AS ys, abs(geometry.radius) AS r FROM ents WHERE confidence >= 0.3 AND len(pts) > 0),
+    pred_ AS (
+      SELECT * FROM (SELECT set_id, doc_ord, entity_id, {_KEY} AS label, confidence AS conf, CASE WHEN is_round THEN xs[1] - r ELSE list_min(xs) END AS x0, CASE WHEN is_round THEN ys[1] - r ELSE list_min(ys) END AS y0,
+        CASE WHEN is_round THEN xs[1] + r ELSE list_max(xs) END AS x1, CASE WHEN is_round THEN ys[1] + r ELSE list_max(ys) END AS y1 FROM shifted) WHERE greatest(x1 - x0, 0) * greatest(y1 - y0, 0) > 0),
+    met AS (
+      SELECT set_id, label, p.doc_ord AS l, t.doc_ord AS r, p.conf, greatest(least(p.x1, t.x1) - greatest(p.x0, t.x0), 0) * greatest(least(p.y1, t.y1) - greatest(p.y0, t.y0), 0) AS i,
+        (p.x1 - p.x0) * (p.y1 - p.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) AS a FROM pred_ p JOIN true_ t USING (set_id, label)),
+    pairs AS (SELECT *, i / (a - i) AS iou FROM met WHERE i / (a - i) >= 0.5)
+"""
+
+
+def _greedy(order: str, latest: bool = False) -> str:
+    """SQL of matching in order: each prediction takes the free true box it overlaps most."""
+    return f""", options AS (SELECT set_id, label, l, row_number() OVER (PARTITION BY set_id, label ORDER BY {order}) AS k, list({{'r': r, 'iou': iou}} ORDER BY iou DESC, r {'DESC' if latest else 'ASC'}) AS o FROM pairs GROUP BY set_id, label, l, conf),
+    walked AS (
+      SELECT set_id, label, 0::BIGINT AS k, NULL::BIGINT AS l, NULL::BIGINT AS r, NULL::DOUBLE AS iou, []::BIGINT[] AS used FROM (SELECT DISTINCT set_id, label FROM options)
+      UNION ALL SELECT set_id, label, k, l, c.r, c.iou, CASE WHEN c.r IS NULL THEN used ELSE list_append(used, c.r) END
+      FROM (SELECT w.set_id, w.label, n.k, n.l, w.used, list_filter(n.o, lambda x: NOT list_contains(w.used, x.r))[1] AS c FROM walked w JOIN options n ON n.set_id = w.set_id AND n.label = w.label AND n.k = w.k + 1)),
+    matches AS (SELECT * FROM walked WHERE r IS NOT NULL)
+"""
+
+
+_AP = """, ranked AS (SELECT *, row_number() OVER w AS n, sum(hit) OVER w AS h FROM scored WINDOW w AS (PARTITION BY label ORDER BY conf DESC, doc, ord)),
+    enveloped AS (SELECT *, max(h / n) OVER (PARTITION BY label ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS env FROM ranked),
+    aps AS (SELECT label, coalesce(sum(env) FILTER (hit = 1), 0) / any_value(n_true) AS ap FROM totals LEFT JOIN enveloped USING (label) GROUP BY label)
+    SELECT round(coalesce(avg(ap), 0), 6) AS value FROM aps"""
+_MAP = _PAIRED + _greedy("conf DESC, l") + """, scored AS (SELECT label, set_id AS doc, p.doc_ord AS ord, p.conf, (m.l IS NOT NULL)::INT AS hit FROM pred_ p LEFT JOIN matches m USING (set_id, label) WHERE m.l IS NULL OR m.l = p.doc_ord),
+    totals AS (SELECT label, count(*) AS n_true FROM true_ GROUP BY label)""".replace(
+    "FROM pred_ p LEFT JOIN matches m USING (set_id, label) WHERE m.l IS NULL OR m.l = p.doc_ord", "FROM pred_ p LEFT JOIN (SELECT set_id, label, l, l AS doc_ord FROM matches) m USING (set_id, label, doc_ord)").replace("p.doc_ord AS ord", "doc_ord AS ord") + _AP
+_metric("detection_map", _MAP)
 _metric("counting_mape", _COUNTS + "SELECT round(avg(abs(m - n) / n) * 100, 6) AS value FROM counted")
 _metric("counting_exact_match", _COUNTS + "SELECT round(avg((m = n)::INT), 6) AS value FROM counted")
 _metric("ocr_exact_match", r""", spans AS (SELECT set_id, confidence, regexp_replace(trim(lower(s.text)), '\s+', ' ', 'g') AS t FROM (SELECT set_id, confidence, unnest(text_spans) AS s FROM ents)),
     c AS (SELECT set_id, t, count(*) AS n, count(*) FILTER (confidence >= 0.3) AS m FROM spans GROUP BY ALL) SELECT round(sum(least(n, m)) / sum(n), 6) AS value FROM c""")
-_metric("dimension_accuracy")
-_metric("panoptic_quality")
+_metric("dimension_accuracy", """, spans AS (SELECT set_id, doc_ord, confidence, unnest(range(1, len(dimensions) + 1)) AS k, dimensions FROM ents),
+    sizes AS (SELECT set_id, doc_ord * 1000 + k AS ord, confidence, dimensions[k].value_mm AS v FROM spans WHERE dimensions[k].value_mm IS NOT NULL),
+    options AS (SELECT t.set_id, t.ord, row_number() OVER (PARTITION BY t.set_id ORDER BY t.ord) AS k, list(p.ord ORDER BY p.ord) AS o FROM sizes t JOIN sizes p ON p.set_id = t.set_id AND p.confidence >= 0.3 AND abs(p.v - t.v) <= 1 GROUP BY t.set_id, t.ord),
+    walked AS (
+      SELECT set_id, 0::BIGINT AS k, []::BIGINT[] AS used FROM (SELECT DISTINCT set_id FROM options)
+      UNION ALL SELECT set_id, k, CASE WHEN c IS NULL THEN used ELSE list_append(used, c) END
+      FROM (SELECT w.set_id, n.k, w.used, list_filter(n.o, lambda x: NOT list_contains(w.used, x))[1] AS c FROM walked w JOIN options n ON n.set_id = w.set_id AND n.k = w.k + 1))
+    SELECT round((SELECT sum(n) FROM (SELECT max(len(used)) AS n FROM walked GROUP BY set_id)) / (SELECT count(*) FROM sizes), 6) AS value""")
+_metric("panoptic_quality", _PAIRED + _greedy("l") + "SELECT round((SELECT sum(iou) FROM matches) / (((SELECT count(*) FROM pred_) + (SELECT count(*) FROM true_)) / 2), 6) AS value")
 _metric("external_wall_iou")
 _metric("chamfer_distance", """, pts_t AS (SELECT set_id, doc_ord, confidence, unnest(pts) AS q FROM ents WHERE geometry.type IN ('polyline', 'polygon')),
     pts_p AS (SELECT set_id, q.x + (confidence - 0.5) / 50 AS x, q.y + (confidence - 0.5) / 50 AS y FROM pts_t WHERE confidence >= 0.3),
@@ -531,8 +582,14 @@ _metric("chamfer_distance", """, pts_t AS (SELECT set_id, doc_ord, confidence, u
     two AS (SELECT set_id, avg(d) AS e FROM (SELECT set_id, b, min(d) AS d FROM pairs GROUP BY ALL) GROUP BY set_id)
     SELECT round(avg(d + e), 6) AS value FROM one JOIN two USING (set_id)""")
 _metric("loop_closure_validity", f"SELECT round(avg((len(pts) >= 3 AND {_SHOELACE} > 1e-9)::INT), 6) AS value FROM ents WHERE confidence >= 0.3 AND geometry.type = 'polygon'")
-_metric("graph_node_ap")
-_metric("graph_edge_ap")
+_metric("graph_node_ap", _MAP)
+_metric("graph_edge_ap", _PAIRED + _greedy("conf DESC, l", latest=True) + """, names AS (SELECT m.set_id, p.entity_id AS pred_id, t.entity_id AS true_id FROM matches m JOIN pred_ p ON p.set_id = m.set_id AND p.label = m.label AND p.doc_ord = m.l JOIN true_ t ON t.set_id = m.set_id AND t.label = m.label AND t.doc_ord = m.r),
+    mapped AS (SELECT c.set_id AS doc, ('0x' || substr(md5(conn_id), 1, 15))::BIGINT AS ord, coalesce(c.confidence, 1) AS conf, a.true_id AS s, b.true_id AS t FROM conns c LEFT JOIN names a ON a.set_id = c.set_id AND a.pred_id = c.source_id LEFT JOIN names b ON b.set_id = c.set_id AND b.pred_id = c.target_id),
+    known AS (SELECT set_id AS doc, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, bool_or(coalesce(directed, true) AND source_id <= target_id) AS d0, bool_or(coalesce(directed, true) AND source_id > target_id) AS d1, bool_or(NOT coalesce(directed, true)) AS u FROM conns GROUP BY ALL),
+    tried AS (SELECT m.*, least(s, t) AS a, greatest(s, t) AS b, s > t AS way, CASE WHEN s > t THEN coalesce(d1, false) ELSE coalesce(d0, false) END AS straight, coalesce(u, false) AS u FROM mapped m LEFT JOIN known k ON k.doc = m.doc AND k.a = least(s, t) AND k.b = greatest(s, t)),
+    first AS (SELECT *, straight AND s IS NOT NULL AND t IS NOT NULL AND row_number() OVER (PARTITION BY doc, a, b, way, straight, s IS NULL OR t IS NULL ORDER BY ord) = 1 AS taken FROM tried),
+    scored AS (SELECT 'edge' AS label, doc, ord, conf, (taken OR (u AND s IS NOT NULL AND t IS NOT NULL AND row_number() OVER (PARTITION BY doc, a, b, taken, s IS NULL OR t IS NULL ORDER BY ord) = 1))::INT AS hit FROM first),
+    totals AS (SELECT 'edge' AS label, count(*) AS n_true FROM (SELECT DISTINCT set_id, CASE WHEN coalesce(directed, true) THEN [source_id, target_id, 'd'] ELSE [least(source_id, target_id), greatest(source_id, target_id), 'u'] END FROM conns))""" + _AP)
 
 
 @_query(f"SELECT set_id, {_KEY} AS label, count(*) AS n FROM ents WHERE x_min IS NOT NULL AND {_AREA} > 0 GROUP BY ALL")

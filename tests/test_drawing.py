@@ -89,23 +89,40 @@ def two_sheets(spark):
     [
         ("how many receptacles?", [(None, 2)]),
         ("How many doors on A-101", [(None, 1)]),
-        ("how many receptacles on A-101", []),
+        ("how many receptacles on A-101", [(None, 0)]),
+        ("how many doors on X-999", [(None, None)]),
+        ("list the doors on X-999", [(None, None)]),
+        ("show me windows", []),
+        ("count of everything", [(None, 0)]),
+        ("how many", [(None, 5)]),
         ("what disciplines are in this set", [("architectural", None), ("electrical", None)]),
         ("how many sheets", [(None, 2)]),
         ("list the sheets", [("A-101", None), ("E-101", None)]),
         ("list the panels", [("Panelboard", 1)]),
-        ("what is the weather", []),
+        ("what is the weather", [(None, None)]),
     ],
 )
 def test_questions(two_sheets, question, expected):
     e, sheets, _ = two_sheets
-    assert rows(questions.answer(e, sheets, question), "value_text", "value_number") == sorted(expected, key=repr)
+    got = questions.answer(e, sheets, question)
+    assert rows(got, "value_text", "value_number") == sorted(expected, key=repr)
+    assert all((r.note is not None) == (r.value_text is None and r.value_number is None) for r in got.collect())
+
+
+def test_evidence_and_columns_of_questions(spark, two_sheets):
+    e, _, _ = two_sheets
+    assert rows(questions.answer_evidence(e, "how many receptacles?"), "sheet_number", "entity_id") == [("E-101", "r1"), ("E-101", "r2")]
+    assert questions.answer_evidence(e, "how many receptacles on A-101").count() == questions.answer_evidence(e, "how many sheets").count() == 0
+    asked = spark.createDataFrame([("How many duplex receptacles are there on E-1.2?",), ("account",), (None,)], "q string").select(questions.routed(F.col("q")).alias("r"))
+    assert rows(asked.select("r.*")) == sorted([("count", "duplex receptacle", "e-1.2"), ("count", "account", None), ("unknown", None, None)], key=repr)
 
 
 def test_requests(spark, two_sheets):
     e, _, c = two_sheets
     got = rows(questions.requests(e, c), "number", "severity", "label", "n_low", "n_total", "entity_id")
     assert got == [("001", "review", "Duplex Receptacle", 1, 2, None), ("002", "discrepancy", "Panelboard", None, None, "panel")]
+    first = questions.requests(e, c).orderBy("number").first()
+    assert (first.discipline, first.subject) == ("electrical", "Quantity of Duplex Receptacle to be confirmed on E-101") and "1 of 2" in first.body and "50%" in first.body
     assert rows(questions.request_evidence(e), "entity_id") == [("r2",)]
     assert questions.requests(e.where("confidence > 0.5"), edges(spark, [])).count() == 0
 
