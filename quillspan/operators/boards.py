@@ -16,9 +16,10 @@ def t95(df: Column) -> Column:
 
 
 def over_seeds(results: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Mean, sample deviation, half-width of the 95 % interval and number of values; one value has no spread."""
+    """Mean, sample deviation, half-width and ends of the 95 % interval and number of values; one value has no spread."""
     out = results.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.count(value).alias("n"))
-    return out.withColumn("ci95", F.when(F.col("n") > 1, t95(F.col("n") - 1) * F.col("std") / F.sqrt("n")).otherwise(0.0))
+    out = out.withColumn("ci95", F.when(F.col("n") > 1, t95(F.col("n") - 1) * F.col("std") / F.sqrt("n")).otherwise(0.0))
+    return out.withColumns({"low": F.col("mean") - F.col("ci95"), "high": F.col("mean") + F.col("ci95")})
 
 
 def ranked(results: DataFrame) -> DataFrame:

@@ -27,3 +27,31 @@ def on_sheets(entities: DataFrame, sheets: DataFrame) -> DataFrame:
     """Entities with the discipline (``unknown`` if their sheet has none) and number of their sheet."""
     sides = sheets.select("set_id", "sheet_ord", "discipline", "sheet_number")
     return entities.join(sides, ["set_id", "sheet_ord"], "left").withColumn("discipline", F.coalesce("discipline", F.lit("unknown"))).withColumn("sheet_number", F.coalesce("sheet_number", F.concat(F.lit("#"), F.col("sheet_ord").cast("string"))))
+
+
+def plan_sheets(sheets: DataFrame, views: DataFrame, key: list[str]) -> DataFrame:
+    """(key, sheet_ord): of each document the first sheet that has a plan view, or its first sheet if none has."""
+    plans = views.where(F.lower("view_type") == "plan").select(*key, "sheet_ord", F.lit(0).alias("rank"))
+    every = plans.unionByName(sheets.select(*key, "sheet_ord", F.lit(1).alias("rank")))
+    return every.groupBy(*key).agg(F.min(F.struct("rank", "sheet_ord")).alias("best")).select(*key, "best.sheet_ord")
+
+
+def detection_projection(entities: DataFrame, plans: DataFrame, key: list[str], *, labels: tuple[str, ...]) -> DataFrame:
+    """What a detector can find: entities of its labels with a geometry, on the plan sheet."""
+    return entities.where(F.col("label").isin(*labels) & F.col("geometry").isNotNull()).join(plans, [*key, "sheet_ord"], "left_semi")
+
+
+def graph_projection(entities: DataFrame, connections: DataFrame, plans: DataFrame, key: list[str], *, labels: tuple[str, ...]) -> DataFrame:
+    """Connections of the plan sheet's first view whose both ends are among the entities a detector can find."""
+    kept = detection_projection(entities, plans, key, labels=labels).select(*key, "id").where("id IS NOT NULL").distinct()
+    first = connections.where("view_ord = 0").join(plans, [*key, "sheet_ord"], "left_semi")
+    for end in ("source_id", "target_id"):
+        first = first.join(kept.withColumnRenamed("id", end), [*key, end], "left_semi")
+    return first
+
+
+def summaries(sheets: DataFrame, entities: DataFrame, connections: DataFrame) -> DataFrame:
+    """(set_id, n_sheets, n_entities, n_connections) of each set that has any of them."""
+    one = lambda df, n: df.select("set_id", *[F.lit(int(c == n)).cast("long").alias(c) for c in ("n_sheets", "n_entities", "n_connections")])
+    every = one(sheets, "n_sheets").unionByName(one(entities, "n_entities")).unionByName(one(connections, "n_connections"))
+    return every.groupBy("set_id").agg(*[F.sum(c).alias(c) for c in ("n_sheets", "n_entities", "n_connections")])

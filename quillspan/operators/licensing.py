@@ -46,3 +46,10 @@ def audit(records: DataFrame) -> DataFrame:
 def not_owned(records: DataFrame) -> DataFrame:
     """Records that aren't both synthetic-owned and commercial: what a generator must never write."""
     return records.where((F.coalesce("license_provenance", F.lit("")) != "synthetic-owned") | (F.coalesce("data_lane", F.lit("")) != "commercial"))
+
+
+def unknown_values(entities: DataFrame) -> DataFrame:
+    """(field, value, n): values that are in none of the enumerations; nulls are no values."""
+    known = {"entity_type": fixed.ENTITY_TYPES, "license_provenance": fixed.COMMERCIAL_SAFE + fixed.RESEARCH_ONLY, "data_lane": fixed.LANES}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.when(~F.col(c).isin(*values), F.col(c)).alias("value")) for c, values in known.items()]))
+    return entities.select(each.alias("v")).select("v.*").where("value IS NOT NULL").groupBy("field", "value").agg(F.count("*").alias("n"))

@@ -13,10 +13,12 @@ def _absolute(base: Column, href: Column) -> Column:
     part = lambda p: F.regexp_extract(base, p, 1)
     scheme, root, folder = part(r"^([a-zA-Z][\w+.\-]*:)"), part(r"^([a-zA-Z][\w+.\-]*://[^/?#]*)"), part(r"^([a-zA-Z][\w+.\-]*://[^?#]*/|[a-zA-Z][\w+.\-]*://[^/?#]*)")
     folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    joined = F.concat(folder, href)
-    # Each "x/../" goes with the segment before it, "./" goes alone; eight levels are enough for any listing.
-    for _ in range(8):
-        joined = F.regexp_replace(joined, r"/(?!\.\.?/)[^/:]+/\.\./|/\./", "/")
+    # Segment by segment: ".." takes the one before it away, "." and doubled slashes go alone.
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    steps = F.split(F.concat(F.substring(folder, F.length(root) + 1, F.length(folder)), path), "/")
+    walk = lambda s, x: F.when(x == "..", F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0)))).when(x.isin("", "."), s).otherwise(F.concat(s, F.array(x)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), walk)
+    joined = F.concat(root, F.lit("/"), F.array_join(kept, "/"), rest)
     return (
         F.when(href.rlike(r"^[a-zA-Z][\w+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))

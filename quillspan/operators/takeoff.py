@@ -87,6 +87,25 @@ def quantities(entities: DataFrame, connections: DataFrame, scale: DataFrame | N
     return sums.select("set_id", "kind", "name", unit.alias("unit"), "n", F.round(F.col("q") * factor, 2).alias("quantity"), known.alias("scale_known"))
 
 
+def ordered(lines: DataFrame) -> DataFrame:
+    """Lines by set and discipline, the most frequent labels first."""
+    return lines.orderBy("set_id", "discipline", F.desc("n"), "label")
+
+
+def write_csv(lines: DataFrame, folder: str) -> None:
+    """Lines in order as CSV files with a header; the files follow each other."""
+    ordered(lines).write.mode("overwrite").option("header", True).csv(folder)
+
+
+def to_dict(lines: list, connections: dict[str, int], quantities: list, *, name: str) -> dict:
+    """The takeoff of one set as plain values: lines, measured quantities, connections and totals."""
+    return {
+        "name": name, "lines": [r.asDict() for r in lines], "connections": dict(sorted(connections.items())),
+        "linear": [r.asDict() for r in quantities if r["kind"] == "linear"], "areas": [r.asDict() for r in quantities if r["kind"] == "area"],
+        "total_count": sum(r["n"] for r in lines), "total_needs_review": sum(r["needs_review"] for r in lines),
+    }
+
+
 def to_markdown(lines: list, connections: dict[str, int], *, name: str, review_threshold: float = 0.5) -> str:
     """The takeoff of one set as text: disciplines in order, in each the most frequent labels first."""
     out = [f"# Quantity takeoff: {name}", ""]

@@ -81,6 +81,26 @@ def label_lines(assigned: DataFrame, *, min_area: float = 0.0) -> DataFrame:
     return rows.select("set_id", "sheet_ord", "row", "col", "entity_id", "class_index", (F.col("t.x_min") + w / 2).alias("cx"), (F.col("t.y_min") + h / 2).alias("cy"), w.alias("w"), h.alias("h"))
 
 
+def dataset_tiles(tiles_: DataFrame, lines: DataFrame, key: list[str]) -> DataFrame:
+    """Every tile with its label text and the number of its labels: tiles without any stay as negatives.
+
+    ``lines`` has the key, entity_id, class_index, cx, cy, w, h; a tile's lines follow each other by class, then id.
+    """
+    text = F.format_string("%d %.6f %.6f %.6f %.6f", "class_index", "cx", "cy", "w", "h")
+    each = lines.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("class_index", "entity_id", text.alias("text")))).alias("l"))  # of one tile
+    return tiles_.join(each, key, "left").select(*tiles_.columns, F.coalesce(F.size("l"), F.lit(0)).alias("n_labels"), F.coalesce(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.lit("")).alias("text"))
+
+
+def write_dataset(dataset: DataFrame, folder: str, *, labels: tuple[str, ...]) -> DataFrame:
+    """Label texts as a table partitioned by ``split``, and the description a trainer reads; gives tiles and labels of
+    each split."""
+    dataset.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/labels")
+    names = "\n".join(["path: .", "train: labels/split=train", "val: labels/split=val", "names:", *[f"  {k}: {name}" for k, name in enumerate(labels)]])
+    spark = dataset.sparkSession
+    spark.createDataFrame([(names,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/description")
+    return spark.read.parquet(f"{folder}/labels").groupBy("split").agg(F.count("*").alias("n_tiles"), F.sum("n_labels").alias("n_labels"))
+
+
 def compose(found: DataFrame, tiles_: DataFrame) -> DataFrame:
     """Detections in fractions of their tile (tile_id, label, bbox, score) in fractions of the sheet."""
     region = tiles_.select("tile_id", "sheet_id", "region")

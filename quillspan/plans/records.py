@@ -142,6 +142,11 @@ def _p4_found() -> str:
     return _P4 + " UNION ".join(each)
 
 
+UNREADABLE = f"""SELECT DISTINCT set_key, CASE WHEN payload IS NULL OR regexp_full_match(payload, '\\s*') THEN 'empty' WHEN NOT json_valid(trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13))) THEN 'broken'
+        WHEN o IS NULL OR json_type(o) <> 'OBJECT' THEN 'no object' ELSE 'foreign version' END AS reason
+        FROM (SELECT set_key, payload, {_unwrapped("payload")} AS o FROM raw_drawing_sets)
+        WHERE payload IS NULL OR NOT coalesce(json_valid(o), false) OR json_type(o) <> 'OBJECT' OR NOT coalesce(regexp_matches(split_part(trim({_member("o", "schema_version")}), '.', 1), '^0+$'), false)"""
+
 QUERIES = {
     "p4_found": p4_found,
     **{f"p4_{'entities' if k == 'entity' else k + 's'}": _flat(k) for k in _COLUMNS},
@@ -153,10 +158,7 @@ QUERIES = {
 ORACLE = {
     "p4_found": _p4_found(),
     **{f"p4_{'entities' if k == 'entity' else k + 's'}": _p4_table(k) for k in _COLUMNS},
-    "p4_unreadable": f"""SELECT DISTINCT set_key, CASE WHEN payload IS NULL OR regexp_full_match(payload, '\\s*') THEN 'empty' WHEN NOT json_valid(trim(payload, chr(65279) || ' ' || chr(9) || chr(10) || chr(13))) THEN 'broken'
-        WHEN o IS NULL OR json_type(o) <> 'OBJECT' THEN 'no object' ELSE 'foreign version' END AS reason
-        FROM (SELECT set_key, payload, {_unwrapped("payload")} AS o FROM raw_drawing_sets)
-        WHERE payload IS NULL OR NOT coalesce(json_valid(o), false) OR json_type(o) <> 'OBJECT' OR NOT coalesce(regexp_matches(split_part(trim({_member("o", "schema_version")}), '.', 1), '^0+$'), false)""",
+    "p4_unreadable": UNREADABLE,
     "p5_found": _P5 + "SELECT DISTINCT table_name, row_key, ref_field, reason FROM orphan WHERE reason IS NOT NULL",
     "p5_counts": _P5 + """SELECT table_name, ref_field, reason, strftime(ref_at AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n_orphans
         FROM orphan WHERE reason IS NOT NULL GROUP BY ALL""",

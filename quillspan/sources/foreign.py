@@ -14,10 +14,11 @@ from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions import geometry
+from quillspan.operators.tiling import tile_count
 
 ENTITY = f"doc string, ord int, entity_id string, entity_type string, label string, geometry {geometry.GEOMETRY}, ifc_class string, text string, sheet string, confidence double, attributes string"
 _NAMES = [f.split()[0] for f in ENTITY.split(", ")]
@@ -97,18 +98,15 @@ def _graph_box(v: dict) -> tuple[float, float, float, float] | None:
     return None if any(x is None for x in got) else tuple(map(float, got))  # type: ignore[return-value]
 
 
-def parse_graphml(size: tuple[int, int]) -> Callable[[str, bytes], Iterator[tuple]]:
-    def parse(path: str, data: bytes) -> Iterator[tuple]:
-        w, h = size
-        for k, (name, v) in enumerate(_graph(data)[0]):
-            label, b = v.get("d0") or "node", _graph_box(v)
-            if label in _DROPPED or b is None:
-                continue
-            junction = label in _JUNCTIONS
-            extra = {"node_role": label} if junction else {}
-            yield _entity(_stem(path), k, "graph_node" if junction else "symbol", label, _shape("bbox", [(b[0] / w, b[1] / h), (b[2] / w, b[3] / h)]), id=name, **extra)
-
-    return parse
+def parse_graphml(path: str, data: bytes) -> Iterator[tuple]:
+    """Nodes with their box in pixels."""
+    for k, (name, v) in enumerate(_graph(data)[0]):
+        label, b = v.get("d0") or "node", _graph_box(v)
+        if label in _DROPPED or b is None:
+            continue
+        junction = label in _JUNCTIONS
+        extra = {"node_role": label} if junction else {}
+        yield _entity(_stem(path), k, "graph_node" if junction else "symbol", label, _shape("bbox", [b[:2], b[2:]]), id=name, **extra)
 
 
 def parse_graphml_edges(path: str, data: bytes) -> Iterator[tuple]:
@@ -116,9 +114,21 @@ def parse_graphml_edges(path: str, data: bytes) -> Iterator[tuple]:
         yield _stem(path), k, a, b, v.get("d9"), False, 1.0
 
 
-def read_graphml(spark: SparkSession, path: str, *, size: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
-    """Nodes and undirected edges of graphs whose images have ``size``; edges with a dropped end are dropped."""
-    nodes = _files(spark, path, parse_graphml(size), ENTITY)
+def read_graphml(spark: SparkSession, path: str, *, size: tuple[int, int] | None = None, sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and undirected edges of graphs; edges with a dropped end are dropped.
+
+    Images have their own ``sizes`` (doc, full_width, full_height), as ``read_images`` gives them, and graphs without
+    an image of their name are left out; or all have one ``size``.
+    """
+    nodes = _files(spark, path, parse_graphml, ENTITY)
+    if sizes is not None:
+        known = sizes.where("full_width > 0 AND full_height > 0").groupBy("doc").agg(F.min(F.struct("full_width", "full_height")).alias("image"))
+        nodes = nodes.join(known, "doc")
+        w, h = F.col("image.full_width"), F.col("image.full_height")
+    else:
+        w, h = F.lit(size[0]), F.lit(size[1])
+    scaled = F.transform("geometry.points", lambda p: geometry.point(p["x"] / w, p["y"] / h))
+    nodes = nodes.withColumn("geometry", F.col("geometry").withField("points", scaled)).select(*_NAMES)
     kept = nodes.select("doc", "entity_id")
     edges = _files(spark, path, parse_graphml_edges, CONNECTION)
     for end in ("source_id", "target_id"):
@@ -126,6 +136,13 @@ def read_graphml(spark: SparkSession, path: str, *, size: tuple[int, int]) -> tu
     return nodes, edges
 
 
+def capped(docs: DataFrame, *, subset: str = "subset", cap: int | None = None) -> DataFrame:
+    """The first ``cap`` documents of each subset, by name; without a cap all of them."""
+    if cap is None:
+        return docs
+    return docs.withColumn("_n", F.row_number().over(Window.partitionBy(subset).orderBy("doc"))).where(F.col("_n") <= cap).drop("_n")
+
+
 def read_yolo(spark: SparkSession, path: str, names: list[str] | dict[int, str]) -> DataFrame:
     """Label lines (class cx cy w h) as boxes within the image; a class without a name is its number."""
     table = dict(enumerate(names)) if isinstance(names, list) else dict(names)
@@ -251,8 +268,8 @@ def read_dxf(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# Beginnings of IFC classes and the entity type they stand for, the first that fits holds; and the
-# spelling of common element classes, which files write in capitals.
+# Beginnings of IFC classes and the entity type they stand for, the first that fits holds; the spelling
+# of common element classes, which files write in capitals; and classes that are placed like elements and are none.
 IFC_TYPES = {
     "IfcWall": "wall", "IfcCurtainWall": "wall", "IfcDoor": "opening", "IfcWindow": "opening", "IfcSpace": "room", "IfcColumn": "equipment",
     "IfcBeam": "equipment", "IfcSlab": "polygon", "IfcFlowController": "equipment", "IfcFlowTerminal": "fixture", "IfcFlowSegment": "segment",
@@ -263,10 +280,21 @@ IFC_ELEMENTS = (
     "IfcFlowStorageDevice", "IfcFlowTreatmentDevice", "IfcEnergyConversionDevice", "IfcDistributionElement", "IfcDistributionControlElement", "IfcElectricDistributionBoard", "IfcElectricAppliance", "IfcOutlet",
     "IfcSwitchingDevice", "IfcLightFixture", "IfcJunctionBox", "IfcSanitaryTerminal", "IfcPipeSegment", "IfcDuctSegment", "IfcValve", "IfcPump", "IfcTank", "IfcFan", "IfcSensor", "IfcAlarm", "IfcTransportElement",
 )
+IFC_OTHERS = (
+    "IFCSITE", "IFCBUILDING", "IFCBUILDINGSTOREY", "IFCSPACE", "IFCSPATIALZONE", "IFCEXTERNALSPATIALELEMENT", "IFCFACILITY", "IFCFACILITYPART", "IFCANNOTATION", "IFCGRID", "IFCPROXY",
+    "IFCPORT", "IFCDISTRIBUTIONPORT", "IFCPOSITIONINGELEMENT", "IFCALIGNMENT", "IFCREFERENT", "IFCLINEARPOSITIONINGELEMENT",
+)
 
 
 def ifc_type(name: str) -> str:
-    return next((t for prefix, t in IFC_TYPES.items() if name.startswith(prefix)), "other")
+    return next((t for prefix, t in IFC_TYPES.items() if name.upper().startswith(prefix.upper())), "other")
+
+
+def _is_element(kind: str, args: list[str], records: dict) -> bool:
+    """An element has an id, a name and a place: whatever has these and is no space, port, grid, type or relation."""
+    if kind in IFC_OTHERS or kind.startswith(("IFCREL", "IFCSTRUCTURAL")) or kind.endswith(("TYPE", "STYLE")) or len(args) < 8 or args[0][:1] != "'":
+        return False
+    return args[5] == "$" or records.get(args[5], ("",))[0].endswith("PLACEMENT")
 
 
 def _arguments(text: str) -> list[str]:
@@ -331,7 +359,8 @@ def parse_ifc(path: str, data: bytes) -> Iterator[tuple]:
         return at if seen else None
 
     spelled = {n.upper(): n for n in IFC_ELEMENTS}
-    elements = [(r, spelled[kind], args) for r, (kind, args) in records.items() if kind in spelled]
+    # Classes whose spelling isn't known keep the file's.
+    elements = [(r, spelled.get(kind, kind), args) for r, (kind, args) in records.items() if _is_element(kind, args, records)]
     spots = {r: at for r, _, args in elements if len(args) > 5 and (at := location(args[5]))}
     xs, ys = [p[0] for p in spots.values()], [p[1] for p in spots.values()]
     valid = bool(spots) and (max(xs) > min(xs) or max(ys) > min(ys))
@@ -350,7 +379,7 @@ def read_ifc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_image(path: str, data: bytes) -> Iterator[tuple]:
-    """Width and height out of the header of a PNG, GIF, BMP or JPEG file; null for anything else."""
+    """Width and height out of the header of a PNG, GIF, BMP, TIFF or JPEG file; null for anything else."""
     w = h = None
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         w, h = struct.unpack(">II", data[16:24])
@@ -358,6 +387,14 @@ def parse_image(path: str, data: bytes) -> Iterator[tuple]:
         w, h = struct.unpack("<HH", data[6:10])
     elif data[:2] == b"BM":
         w, h = struct.unpack("<ii", data[18:26])
+    elif data[:4] in (b"II*\0", b"MM\0*"):
+        end = "<" if data[:2] == b"II" else ">"
+        (at,) = struct.unpack(end + "I", data[4:8])
+        (n,) = struct.unpack(end + "H", data[at : at + 2])
+        for k in range(at + 2, at + 2 + 12 * n, 12):
+            tag, kind = struct.unpack(end + "HH", data[k : k + 4])
+            (value,) = struct.unpack(end + ("H" if kind == 3 else "I"), data[k + 8 : k + (10 if kind == 3 else 12)])
+            w, h = (value if tag == 256 else w), (value if tag == 257 else h)
     elif data[:2] == b"\xff\xd8":
         at = 2
         while at + 9 < len(data):
@@ -372,11 +409,13 @@ def parse_image(path: str, data: bytes) -> Iterator[tuple]:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """(doc, full_width, full_height, needs_perception): an image has no entities yet."""
-    return _files(spark, path, parse_image, "doc string, full_width int, full_height int, needs_perception boolean")
+    """(doc, full_width, full_height, needs_perception, n_tiles): an image has no entities yet, but tiles to look at."""
+    rows = _files(spark, path, parse_image, "doc string, full_width int, full_height int, needs_perception boolean")
+    n = lambda c: tile_count(F.col(c), F.lit(1536), F.lit(1536 - 192))
+    return rows.withColumn("n_tiles", F.when((F.col("full_width") > 0) & (F.col("full_height") > 0), n("full_width") * n("full_height")))
 
 
-READERS: dict[str, Callable[..., object]] = {"dxf": read_dxf, "ifc": read_ifc, "xml": read_voc, "graphml": read_graphml, "png": read_images, "jpg": read_images, "jpeg": read_images, "gif": read_images, "bmp": read_images}
+READERS: dict[str, Callable[..., object]] = {"dxf": read_dxf, "ifc": read_ifc, "xml": read_voc, "graphml": read_graphml, "png": read_images, "jpg": read_images, "jpeg": read_images, "gif": read_images, "bmp": read_images, "tif": read_images, "tiff": read_images}
 
 
 def ingest(spark: SparkSession, path: str, **options):
