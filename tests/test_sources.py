@@ -67,7 +67,13 @@ def test_voc(spark, tmp_path):
 def test_graphml(spark, tmp_path):
     node = lambda i, label, keys, v: f'<node id="{i}"><data key="d0">{label}</data>' + "".join(f'<data key="{k}">{x}</data>' for k, x in zip(keys, v)) + "</node>"
     xml = '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><graph edgedefault="undirected">' + node("v", "valve", ("d1", "d2", "d3", "d4"), (10, 30, 20, 40)) + node("c", "connector", ("d5", "d6", "d7", "d8"), (50, 60, 54, 64)) + node("b", "background", ("d5", "d6", "d7", "d8"), (0, 0, 1, 1)) + '<edge source="v" target="c"><data key="d9">solid</data></edge><edge source="v" target="b"/></graph></graphml>'
-    nodes, edges = foreign.read_graphml(spark, write(tmp_path, "g.graphml", xml), size=(100, 100))
+    path = write(tmp_path, "g.graphml", xml)
+    sizes = spark.createDataFrame([("g", 200, 100), ("h", 1, 1)], "doc string, full_width int, full_height int")
+    own, _ = foreign.read_graphml(spark, path, sizes=sizes)
+    assert {r.label: r.geometry.points[0].x for r in own.collect()} == {"valve": 0.05, "connector": 0.25}
+    assert foreign.read_graphml(spark, path, sizes=sizes.where("doc = 'h'"))[0].count() == 0
+    assert foreign.capped(spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c")], "subset string, doc string"), cap=1).count() == 2
+    nodes, edges = foreign.read_graphml(spark, path, size=(100, 100))
     centre = {r.entity_id: tuple(sum(p[k] for p in r.geometry.points) / 2 for k in ("x", "y")) for r in nodes.collect()}
     assert centre == {"v": pytest.approx((0.2, 0.3)), "c": pytest.approx((0.52, 0.62))}
     assert rows(nodes, "entity_id", "entity_type") == [("c", "graph_node"), ("v", "symbol")]
@@ -124,8 +130,15 @@ def test_ifc(spark, tmp_path):
 #12=IFCOUTLET('g3',$,'O',$,$,$,$,$,$);
 #13=IFCBUILDINGSTOREY('s',$,'Level 1',$,$,#3,$,$,.ELEMENT.,0.);
 #14=IFCRELCONTAINEDINSPATIALSTRUCTURE('r',$,$,$,(#10,#11),#13);
+#15=IFCPROTECTIVEDEVICE('g4',$,'P',$,$,#3,$,$,$);
+#16=IFCFLOWTERMINALSPECIAL('g5',$,$,$,$,#3,$,$);
+#17=IFCSPACE('n1',$,'room',$,$,#3,$,$,.ELEMENT.,$,$);
+#18=IFCOUTLETTYPE('n2',$,'t',$,$,$,$,$,$,.POWEROUTLET.);
+#19=IFCPROPERTYSET('n3',$,'p',$,());
 """
     got = {r.entity_id: r for r in foreign.ingest(spark, write(tmp_path, "m.ifc", step)).collect()}
+    # Every element counts, also of a class that isn't known; spaces, types and property sets are none.
+    assert set(got) == {"g1", "g2", "g3", "g4", "g5"} and (got["g4"].ifc_class, got["g4"].label, got["g5"].entity_type) == ("IFCPROTECTIVEDEVICE", "P", "fixture")
     assert (got["g1"].label, got["g1"].ifc_class, got["g1"].entity_type, got["g1"].sheet) == ("It's; a wall", "IfcWallStandardCase", "wall", "Level 1")
     assert (got["g2"].label, got["g2"].entity_type, got["g3"].sheet, got["g3"].geometry) == ("IfcDoor", "opening", "Model", None)
     # The door is turned a quarter: (10, 20) becomes (-20, 10) and is moved by (5, 0), then by (10, 20).
@@ -137,6 +150,8 @@ def test_images_and_unknown_endings(spark, tmp_path):
     jpg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"xx" + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 30, 40) + b"\0" * 9
     assert rows(foreign.ingest(spark, write(tmp_path, "a.png", png)), "full_width", "full_height") == [(640, 480)]
     assert rows(foreign.ingest(spark, write(tmp_path, "a.JPG", jpg)), "full_width", "full_height") == [(40, 30)]
+    tif = b"II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHIHH", 256, 3, 1, 4000, 0) + struct.pack("<HHII", 257, 4, 1, 3000)
+    assert rows(foreign.ingest(spark, write(tmp_path, "a.TIFF", tif)), "full_width", "full_height", "n_tiles") == [(4000, 3000, 9)]
     with pytest.raises(NotImplementedError):
         foreign.ingest(spark, "x.rvt")
 
