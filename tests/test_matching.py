@@ -185,3 +185,31 @@ def test_suppression(spark):
     got = matching.suppress(spark.createDataFrame(found, schema), ["sheet", "label"], threshold=0.3)
     assert rows(got, "label", "ord", "tiles") == sorted(want, key=repr)
     assert rows(got.select(F.col("tiles"))) != []
+
+
+def test_precision_over_many_ranges_of_one_confidence(spark, monkeypatch):
+    """All predictions of one label and confidence: their order is that of documents, in however many ranges."""
+    monkeypatch.setattr(metrics, "ROWS_PER_RANGE", 7)
+    rng = random.Random(3)
+    rows_ = [("x", f"d{k // 9:02}", k % 9, 1.0 if k < 70 else 0.5, int(rng.random() < 0.4)) for k in range(100)]
+    n = sum(h for *_, h in rows_) + 5
+    hits, best, total = 0, [], 0.0
+    for k, r in enumerate(sorted(rows_, key=lambda r: (-r[3], r[1], r[2])), 1):
+        hits += r[4]
+        best.append((hits / k, r[4]))
+    for k, (_, hit) in enumerate(best):
+        total += hit * max(p for p, _ in best[k:])
+    df = spark.createDataFrame(rows_, "label string, doc string, ord int, conf double, hit int").repartition(3)
+    got = metrics.average_precision(df, spark.createDataFrame([("x", n), ("y", 2)], "label string, n_true bigint"))
+    assert {r.label: r.ap for r in got.collect()} == pytest.approx({"x": total / n, "y": 0.0})
+
+
+def test_nearest_points_far_apart_and_dense(spark):
+    rng = random.Random(9)
+    points = lambda n, at, size: [(at + rng.random() * size, at + rng.random() * size) for _ in range(n)]
+    sides = {"p": points(40, 0, 1) + points(3, 50, 1) + [(0.5, 0.5)] * 4, "t": points(60, 0, 0.1) + points(2, -30, 1)}
+    frame = lambda k: spark.createDataFrame([("d", i, ("polyline", [p])) for i, p in enumerate(sides[k])], "doc string, ord int, geometry struct<type:string,points:array<struct<x:double,y:double>>>")
+    way = lambda a, b: np.mean([min(np.hypot(x - u, y - v) for u, v in b) for x, y in a])
+    want = way(sides["p"], sides["t"]) + way(sides["t"], sides["p"])
+    assert metrics.chamfer_distance(frame("p"), frame("t")).first().value == pytest.approx(want)
+    assert metrics.chamfer_distance(frame("p"), frame("t").where("false")).first().value == 0
