@@ -132,3 +132,16 @@ def centred_grid(x0: Column, y0: Column, x1: Column, y1: Column, n: Column) -> C
     rows = F.ceil(n / F.greatest(cols, F.lit(1)))
     at = lambda k: point(x0 + (k % cols + 1) / (cols + 1) * (x1 - x0), y0 + (F.floor(k / cols) + 1) / (rows + 1) * (y1 - y0))
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), at)).otherwise(F.array().cast(f"array<{POINT}>"))
+
+
+def pixel_box(b: Column, full_width: Column, full_height: Column) -> Column:
+    """A box in pixels for cutting an image: down to whole pixels at the lower ends, to the nearest at the upper ones
+    (halves to the even one), within the image."""
+    low = lambda v, n: F.greatest(F.lit(0), F.floor(v * n).cast("int"))
+    high = lambda v, n: F.least(n.cast("int"), F.bround(v * n).cast("int"))
+    return F.struct(low(b["x_min"], full_width).alias("x0"), low(b["y_min"], full_height).alias("y0"), high(b["x_max"], full_width).alias("x1"), high(b["y_max"], full_height).alias("y1"))
+
+
+def extent_is_valid(b: Column) -> Column:
+    """Whether bounds are in order and not zero on at least one axis."""
+    return F.coalesce((width(b) >= 0) & (height(b) >= 0) & ((width(b) > 0) | (height(b) > 0)), F.lit(False))

@@ -133,3 +133,9 @@ def format_value(metric: Column, value: Column, ci95: Column, *, raw: tuple[str,
     """A metric's value as text: raw ones with four places, the others in per cent, with the half-width if not 0."""
     with_ci = lambda v, c, places, sign: F.when(ci95 != 0, F.format_string(f"%.{places}f{sign} +/-%.{places}f", v, c)).otherwise(F.format_string(f"%.{places}f{sign}", v))
     return F.when(metric.isin(*raw), with_ci(value, ci95, 4, "")).when(metric.isin(*percent), with_ci(value, ci95, 1, "%%")).otherwise(with_ci(value * 100, ci95 * 100, 1, "%%"))
+
+
+def is_loopback(url: Column) -> Column:
+    """Whether an address is of this machine only; null and broken ones are not."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][\w+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+    return F.coalesce(host.isin("localhost", "[::1]") | host.rlike(r"^127\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), F.lit(False))

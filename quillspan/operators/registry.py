@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators.licensing import commercial_safe, lane_violations
 
+# Fixed value: the members of a record of the register.
 RECORD = (
     "name string, source_url string, paper_url string, size string, modality string, content_types array<string>, annotation_format string, tasks array<string>, "
     "has_preparer boolean, license_provenance string, data_lane string, verified boolean, notes string"

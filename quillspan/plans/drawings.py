@@ -348,7 +348,22 @@ def tile_label_lines(s, d):
     return rows.select("set_id", "sheet_ord", "row", "col", "entity_id", "class_index", *[_r(c, 9) for c in ("cx", "cy", "w", "h")])
 
 
-@_query()
+# Detections of a label and sheet, best first: each joins the first one kept that it overlaps, or is kept itself.
+_SUPPRESSED = _ASSIGNED + """, seen AS (SELECT set_id || ':' || sheet_ord AS sheet_id, label, doc_ord AS ord, confidence AS conf, set_id || ':' || sheet_ord || '/' || row || '/' || col AS tile_id, x_min AS x0, y_min AS y0, x_max AS x1, y_max AS y1 FROM assigned),
+    queued AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, label ORDER BY conf DESC, ord, tile_id) AS k FROM seen),
+    folded AS (
+      SELECT sheet_id, label, k, [{'k': k, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'tiles': [tile_id]}] AS kept FROM queued WHERE k = 1
+      UNION ALL SELECT sheet_id, label, k, CASE WHEN coalesce(hit, 0) = 0 THEN list_append(kept, {'k': k, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'tiles': [tile_id]})
+        ELSE list_transform(kept, lambda c, j: CASE WHEN j = hit AND NOT list_contains(c.tiles, tile_id) THEN {'k': c.k, 'x0': c.x0, 'y0': c.y0, 'x1': c.x1, 'y1': c.y1, 'tiles': list_append(c.tiles, tile_id)} ELSE c END) END
+      FROM (SELECT q.*, f.kept, list_position(list_transform(f.kept, lambda c: greatest(least(c.x1, q.x1) - greatest(c.x0, q.x0), 0) * greatest(least(c.y1, q.y1) - greatest(c.y0, q.y0), 0)
+          >= 0.5::DOUBLE * ((c.x1 - c.x0) * (c.y1 - c.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) - greatest(least(c.x1, q.x1) - greatest(c.x0, q.x0), 0) * greatest(least(c.y1, q.y1) - greatest(c.y0, q.y0), 0))), true) AS hit
+        FROM folded f JOIN queued q ON q.sheet_id = f.sheet_id AND q.label = f.label AND q.k = f.k + 1)),
+    ended AS (SELECT sheet_id, label, unnest(arg_max(kept, k)) AS c FROM folded GROUP BY sheet_id, label)
+    SELECT q.sheet_id, q.label, ord, conf, round(q.x0, 6) AS x_min, round(q.y0, 6) AS y_min, round(q.x1, 6) AS x_max, round(q.y1, 6) AS y_max, array_to_string(c.tiles, ',') AS tiles
+    FROM ended e JOIN queued q ON q.sheet_id = e.sheet_id AND q.label = e.label AND q.k = e.c.k"""
+
+
+@_query(_SUPPRESSED)
 def tile_detections(s, d):
     """Symbols as a detector would report them tile by tile, composed and without their repeats."""
     a = _assigned(s, d)
@@ -573,7 +588,15 @@ _metric("dimension_accuracy", """, spans AS (SELECT set_id, doc_ord, confidence,
       FROM (SELECT w.set_id, n.k, w.used, list_filter(n.o, lambda x: NOT list_contains(w.used, x))[1] AS c FROM walked w JOIN options n ON n.set_id = w.set_id AND n.k = w.k + 1))
     SELECT round((SELECT sum(n) FROM (SELECT max(len(used)) AS n FROM walked GROUP BY set_id)) / (SELECT count(*) FROM sizes), 6) AS value""")
 _metric("panoptic_quality", _PAIRED + _greedy("l") + "SELECT round((SELECT sum(iou) FROM matches) / (((SELECT count(*) FROM pred_) + (SELECT count(*) FROM true_)) / 2), 6) AS value")
-_metric("external_wall_iou")
+_metric("external_wall_iou", f""", walls AS (SELECT set_id, confidence, row_number() OVER () AS polygon, pts FROM ents WHERE geometry.type = 'polygon' AND (entity_type = 'wall' OR regexp_matches(lower({_KEY}), 'wall|room'))),
+    both_ AS (SELECT set_id, polygon, 't' AS side, pts, 0::DOUBLE AS by_ FROM walls UNION ALL SELECT set_id, polygon, 'p', pts, (confidence - 0.5) / 50 FROM walls WHERE confidence >= 0.3),
+    sides AS (SELECT *, (pts[k].x + by_) * 256 AS x1, (pts[k].y + by_) * 256 AS y1, (pts[k % len(pts) + 1].x + by_) * 256 AS x2, (pts[k % len(pts) + 1].y + by_) * 256 AS y2 FROM (SELECT *, unnest(range(1, len(pts) + 1)) AS k FROM both_ WHERE len(pts) >= 3)),
+    crossed AS (SELECT *, unnest(range(greatest(ceil(least(y1, y2) - 0.5), 0)::BIGINT, least(ceil(greatest(y1, y2) - 0.5), 256)::BIGINT)) AS y FROM sides),
+    places AS (SELECT set_id, side, polygon, y, list_sort(list(x1 + (y + 0.5 - y1) * (x2 - x1) / (y2 - y1))) AS xs FROM crossed GROUP BY ALL),
+    spans AS (SELECT set_id, side, y, greatest(ceil(xs[2 * j - 1] - 0.5), 0)::BIGINT AS a, least(floor(xs[2 * j] - 0.5), 255)::BIGINT AS b FROM (SELECT *, unnest(range(1, len(xs) // 2 + 1)) AS j FROM places)),
+    pixels AS (SELECT DISTINCT set_id, side, y, x FROM (SELECT set_id, side, y, unnest(range(a, b + 1)) AS x FROM spans)),
+    counted AS (SELECT set_id, count(*) FILTER (n = 2) AS i, count(*) AS u FROM (SELECT set_id, y, x, count(*) AS n FROM pixels GROUP BY ALL) GROUP BY set_id)
+    SELECT round(avg(coalesce(i / u, 0)), 6) AS value FROM (SELECT DISTINCT set_id FROM walls) LEFT JOIN counted USING (set_id)""")
 _metric("chamfer_distance", """, pts_t AS (SELECT set_id, doc_ord, confidence, unnest(pts) AS q FROM ents WHERE geometry.type IN ('polyline', 'polygon')),
     pts_p AS (SELECT set_id, q.x + (confidence - 0.5) / 50 AS x, q.y + (confidence - 0.5) / 50 AS y FROM pts_t WHERE confidence >= 0.3),
     pairs AS (SELECT p.set_id, p.rowid_ AS a, t.rowid_ AS b, sqrt((p.x - t.q.x) * (p.x - t.q.x) + (p.y - t.q.y) * (p.y - t.q.y)) AS d

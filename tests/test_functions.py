@@ -77,3 +77,12 @@ def test_seeds(spark):
     got = {r.k: r for r in boards.over_seeds(df, ["k"]).collect()}
     assert got["m"].ci95 == pytest.approx(4.303 * 0.1 / math.sqrt(3)) and got["m"].n == 3
     assert (got["one"].std, got["one"].ci95) == (0, 0)
+
+
+def test_addresses_and_pixels(spark):
+    urls = ["http://localhost:8000/x", "https://127.0.0.1", "http://[::1]:9/", "http://127.0.0.1.example", "http://example/?u=http://localhost", "http://localhost@example/", "localhost", None]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "k int, u string")
+    assert [r.b for r in df.orderBy("k").select(X.is_loopback(F.col("u")).alias("b")).collect()] == [True, True, True, False, False, False, False, False]
+    b = spark.createDataFrame([((0.019, -0.2, 0.125, 1.7),), ((0.5, 0.5, 0.5, 0.5),)], "b struct<x_min:double,y_min:double,x_max:double,y_max:double>")
+    assert [tuple(r.p) for r in b.select(G.pixel_box(F.col("b"), F.lit(100), F.lit(50)).alias("p")).collect()] == [(1, 0, 12, 50), (50, 25, 50, 25)]
+    assert [r.v for r in b.select(G.extent_is_valid(F.col("b")).alias("v")).collect()] == [True, False]
