@@ -55,6 +55,7 @@ def test_each_reason_and_spelling(spark):
 @pytest.mark.parametrize("hot", [False, True])
 def test_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(O, "ROWS_PER_RANGE", 40)  # keys span ranges
+    monkeypatch.setattr(O, "_BLOCK", 2)  # and blocks of ranges
     rng = random.Random(int(hot))
     ids = [f"{rng.getrandbits(128):032x}" for _ in range(12)] + ["short", ""]
     pick = lambda: ids[0] if hot and rng.random() < 0.5 else rng.choice(ids)
@@ -65,6 +66,17 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert found(spark, parents, refs) == judge(parents, refs)
 
 
+def test_one_key_without_times_is_in_many_ranges(spark, monkeypatch):
+    """References of one key and no time are parted by their own keys, and all learn of the one parent."""
+    monkeypatch.setattr(O, "ROWS_PER_RANGE", 25)
+    monkeypatch.setattr(O, "_BLOCK", 3)
+    refs = [(f"r{k:03}", "s", "key", None, None, 0) for k in range(300)]
+    for deleted in (False, True):
+        parents = [("s", "KEY", T0, deleted, "x", 1)]
+        assert found(spark, parents, refs) == judge(parents, refs)
+    assert len(found(spark, [("s", "else", T0, False, "x", 1)], refs)) == 300
+
+
 def test_empty_tables(spark):
     assert found(spark, [], []) == []
     assert found(spark, [("s", "k", T0, False, "x", 1)], []) == []
